@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -17,6 +19,15 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return round_half_even(share * 100, digits)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body mentions it.
+
+    A column named twice is copied twice when Catalyst pushes a filter through
+    the projection that defines it; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def to_number(value: Column) -> Column:
     """Numbers stay, text that is no number becomes null."""
     return value.try_cast("double")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from postlens.functions.numbers import let
 from postlens.seeds import patterns as P, words as W
 
 
@@ -31,7 +32,7 @@ def strip_mentions(text: Column) -> Column:
 
 
 def strip_hash_symbol(text: Column) -> Column:
-    return F.regexp_replace(text, P.HASH_SYMBOL, "")
+    return F.replace(F.replace(text, F.lit("#"), F.lit("")), F.lit("＃"), F.lit(""))
 
 
 def cap_punctuation(text: Column) -> Column:
@@ -39,7 +40,10 @@ def cap_punctuation(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{P.SPACE_CHARS}]+", " "))
+    """Runs of white space become one blank; single blanks, the usual case, are not touched."""
+    wide = F.regexp_replace(text, f"[{P.WIDE_SPACES}]", " ")
+    other = P.LATIN_SPACES.replace("\\x20", "")
+    return F.trim(F.regexp_replace(wide, f"[{other}][{P.LATIN_SPACES}]*|\\x20[{P.LATIN_SPACES}]+", " "))
 
 
 NORMALIZE_STEPS = (
@@ -57,14 +61,17 @@ def normalize(text: Column) -> Column:
     return reduce(lambda c, step: step(c), NORMALIZE_STEPS, F.coalesce(text, F.lit("")))
 
 
-def script_language(text: Column, default: str = "auto", other: Column | None = None) -> Column:
-    """zh-TW / zh by script, ``default`` for short text, ``other`` for the remaining scripts."""
-    rest = F.lit(default) if other is None else other
-    return (
-        F.when(text.isNull() | (F.length(strip_space(text)) < 3), F.lit(default))
-        .when(text.rlike(P.CJK), F.when(text.rlike(P.TRADITIONAL), F.lit("zh-TW")).otherwise(F.lit("zh")))
-        .otherwise(rest)
-    )
+def script_language(text: Column, default: str = "auto", other=None) -> Column:
+    """zh-TW / zh by script, ``default`` for short text, ``other(text)`` for the remaining scripts."""
+
+    def by_script(t: Column) -> Column:
+        return (
+            F.when(t.isNull() | (F.length(strip_space(t)) < 3), F.lit(default))
+            .when(t.rlike(P.CJK), F.when(t.rlike(P.TRADITIONAL), F.lit("zh-TW")).otherwise(F.lit("zh")))
+            .otherwise(F.lit(default) if other is None else other(t))
+        )
+
+    return let(text, by_script)
 
 
 def tokenize_latin(text: Column) -> Column:
@@ -114,7 +121,7 @@ def latin_words(text: Column, stopwords=()) -> Column:
 
     Such tokens cannot be empty, marks or digits, so only stopwords are left to drop.
     """
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z](?:[a-z']*[a-z])?"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+(?:'+[a-z]+)*"), F.lit(0))
     stop = list(stopwords)
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
@@ -136,13 +143,16 @@ def tokens_for_language(text: Column, language: str, terms=None, extra_stopwords
 def tokens_by_row(text: Column, lang: Column, terms=None, extra_stopwords=None) -> Column:
     """Tokens when the language differs by row: one branch per stopword list."""
     special = {tag for tag in {**W.STOPWORDS, **(extra_stopwords or {})} if stopwords_for(tag, extra_stopwords)}
-    branch = None
-    for tag in sorted(special):
-        tokens = tokens_for_language(text, tag, terms, extra_stopwords)
-        branch = (F if branch is None else branch).when(lang == tag, tokens)
-    zh = tokens_for_language(text, "zh", terms, extra_stopwords)
-    branch = (F if branch is None else branch).when(lang.startswith("zh"), zh)
-    return branch.otherwise(latin_words(text))
+
+    def choose(row: Column) -> Column:
+        body, tag_of = row["text"], row["lang"]
+        zh = tokens_for_language(body, "zh", terms, extra_stopwords)
+        branches = [(tag_of == tag, tokens_for_language(body, tag, terms, extra_stopwords)) for tag in sorted(special)]
+        branches.append((tag_of.startswith("zh"), zh))
+        chain = reduce(lambda c, arm: c.when(*arm), branches[1:], F.when(*branches[0]))
+        return chain.otherwise(latin_words(body))
+
+    return let(F.struct(text.alias("text"), lang.alias("lang")), choose)
 
 
 def char_trigrams(text: Column) -> Column:

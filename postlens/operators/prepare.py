@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import text as T
-from postlens.functions.numbers import round_half_even
+from postlens.functions.numbers import let, round_half_even
 from postlens.functions.quantiles import quantiles
 from postlens.functions.ranking import top_k_per_group
 
@@ -20,8 +20,7 @@ def assign_language(posts: DataFrame, declared: str = "auto", text_col: str = "t
     """
     if declared and declared != "auto":
         return posts.withColumn("lang", F.lit(declared))
-    other = detector(F.col(text_col)) if detector else None
-    return posts.withColumn("lang", T.script_language(F.col(text_col), "auto", other))
+    return posts.withColumn("lang", T.script_language(F.col(text_col), "auto", detector))
 
 
 def trigram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -57,18 +56,19 @@ def fit_language_detector(labelled: DataFrame, text_col: str = "text", lang_col:
     for row in rows:
         profiles.setdefault(row["lang"], []).append(row["trigram"])
 
-    def detect(text):
-        grams = T.char_trigrams(F.lower(text))
+    def best_of(grams: Column) -> Column:
+        def hits(known: list[str]) -> Column:
+            return F.size(F.filter(grams, lambda g: g.isin(known)))
+
         ranked = [
-            F.struct(
-                F.size(F.filter(grams, lambda g, known=profiles[tag]: g.isin(known))).alias("hits"),
-                F.lit(-order).alias("order"),
-                F.lit(tag).alias("tag"),
-            )
+            F.struct(hits(profiles[tag]).alias("hits"), F.lit(-order).alias("order"), F.lit(tag).alias("tag"))
             for order, tag in enumerate(sorted(profiles))
         ]
-        best = F.array_max(F.array(*ranked))
-        return F.when(best["hits"] > 0, best["tag"]).otherwise(F.lit("auto"))
+        return F.array_max(F.array(*ranked))
+
+    def detect(text: Column) -> Column:
+        best = let(T.char_trigrams(F.lower(text)), best_of)
+        return let(best, lambda b: F.when(b["hits"] > 0, b["tag"]).otherwise(F.lit("auto")))
 
     return detect
 

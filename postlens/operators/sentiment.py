@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postlens.functions.numbers import percent
+from postlens.functions.numbers import let, percent
 from postlens.seeds import patterns as P, words as W
 from postlens.seeds.patterns import DISTRESS, NEGATIVE, NEUTRAL, POSITIVE, UNCERTAIN
 
@@ -41,12 +41,12 @@ DEFAULT_LEXICONS = {
 
 
 def lexicon_table(spark: SparkSession, lexicons: dict[str, Lexicon] | None = None) -> DataFrame:
-    """lang, kind, term, weight (null weight for negators)."""
+    """lang, kind, term, weight (0 for negators)."""
     rows = []
     for lang, lexicon in (lexicons or DEFAULT_LEXICONS).items():
         for kind in ("positive", "negative", "intensifiers"):
             rows += [(lang, kind.rstrip("s"), term, weight) for term, weight in getattr(lexicon, kind).items()]
-        rows += [(lang, "negator", term, None) for term in lexicon.negators]
+        rows += [(lang, "negator", term, 0) for term in lexicon.negators]
     return spark.createDataFrame(rows, "lang string, kind string, term string, weight int")
 
 
@@ -188,31 +188,32 @@ def label_posts(
     prefer_specific: bool = False,
 ) -> DataFrame:
     """Adds t1_label, t1_conf, t2_label, t2_conf, final_label, sentiment_agreed."""
-    text, lang = F.col("text_norm"), F.col("lang")
-    rules = tier1_rules(text, lang)
-    if domain_patterns:
-        rules = apply_domain_patterns(rules, text, lang, domain_patterns)
-    scored = score_by_language(F.col("tokens"), lang, lexicons or DEFAULT_LEXICONS)
+    def tiers(post: Column) -> Column:
+        rules = tier1_rules(post["text"], post["lang"])
+        if domain_patterns:
+            rules = apply_domain_patterns(rules, post["text"], post["lang"], domain_patterns)
+        scored = score_by_language(post["tokens"], post["lang"], lexicons or DEFAULT_LEXICONS)
+        return F.struct(rules.alias("t1"), let(scored, tier2_from_score).alias("t2"))
+
+    def merge(both: Column) -> Column:
+        t1, t2 = both["t1"], both["t2"]
+        merged = combine_tiers(t1["label"], t2["label"], t1["conf"], t2["conf"], prefer_specific)
+        return F.struct(t1.alias("t1"), t2.alias("t2"), merged.alias("final"))
+
+    post = F.struct(F.col("text_norm").alias("text"), "lang", "tokens")
     return (
-        prepared.withColumn("t1", rules)
-        .withColumn("scored", scored)
-        .withColumn("t2", tier2_from_score(F.col("scored")))
+        prepared.withColumn("verdict", let(let(post, tiers), merge))
         .withColumns(
             {
-                "t1_label": F.col("t1.label"),
-                "t1_conf": F.col("t1.conf"),
-                "t2_label": F.col("t2.label"),
-                "t2_conf": F.col("t2.conf"),
+                "t1_label": F.col("verdict.t1.label"),
+                "t1_conf": F.col("verdict.t1.conf"),
+                "t2_label": F.col("verdict.t2.label"),
+                "t2_conf": F.col("verdict.t2.conf"),
+                "final_label": F.col("verdict.final.label"),
+                "sentiment_agreed": F.col("verdict.final.agreed"),
             }
         )
-        .withColumn(
-            "merged",
-            combine_tiers(
-                F.col("t1_label"), F.col("t2_label"), F.col("t1_conf"), F.col("t2_conf"), prefer_specific
-            ),
-        )
-        .withColumns({"final_label": F.col("merged.label"), "sentiment_agreed": F.col("merged.agreed")})
-        .drop("t1", "scored", "t2", "merged")
+        .drop("verdict")
     )
 
 

@@ -21,6 +21,7 @@ from postlens.functions.components import connected_components
 from postlens.functions.numbers import percent
 from postlens.functions.ranking import top_k_per_group
 from postlens.schema import Thresholds
+from postlens.session import stored
 
 MIN_TEXT_CHARS = 4
 MIN_ROWS = 30
@@ -142,7 +143,7 @@ def density_topics(
     )
     placed = placed.drop("low", "high")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    dense = cells.where(F.col("n") >= min_points)
+    dense = stored(cells.where(F.col("n") >= min_points), "dense-cells")
     topics = number_topics(grow_cells(dense, dims, bins), min_topic_size)
     # topics has at most bins^dims rows (checked above)
     return (
@@ -272,7 +273,8 @@ def similar_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     terms are ordered by the number of topics that use them, rarest first, and a
     topic is only looked up by the leading terms that together could carry a
     cosine of ``threshold``. Terms all topics share never bring topics together,
-    and no pair at or above the threshold is lost.
+    and no pair at or above the threshold is lost. ``scored`` is read several
+    times, so give it as a stored table.
     """
     real = scored.where((F.col("topic_id") != OUTLIER) & (F.col("score") > 0))
     lengths = real.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
@@ -305,6 +307,7 @@ def similar_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def merge_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     """topic_id, merged_id: topics linked by similar keyword vectors share the smallest (largest topic's) id."""
+    scored = stored(scored, "topic-terms")
     ids = scored.select(F.col("topic_id").alias("id")).distinct()
     pairs = similar_topics(scored, threshold).select(F.col("topic_a").alias("src"), F.col("topic_b").alias("dst"))
     return connected_components(ids, pairs).select(
@@ -388,5 +391,5 @@ def fit_topics(
     model: Callable | None = None,
 ) -> DataFrame:
     """Vectors, reduction, clusters: adds topic_id to the corpus."""
-    located = reduce_dims(embed_posts(corpus, width=width, model=model), dims).drop("vector")
+    located = stored(reduce_dims(embed_posts(corpus, width=width, model=model), dims).drop("vector"), "coords")
     return density_topics(located, dims, bins, min_points, min_topic_size).drop("coords")

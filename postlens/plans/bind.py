@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.operators.sentiment import Lexicon
 from postlens.plans.catalog import cte
+from postlens.session import stored
 
 # The stock lexicons hardly occur in the synthetic prose; these frequent words exercise every branch.
 LEXICONS = {
@@ -151,12 +152,12 @@ def sql_weight(lexicon: Lexicon, token: str) -> str:
     return f"CASE {token} {arms} ELSE 0 END"
 
 
-def sql_signed(lexicon: Lexicon, tokens: str) -> str:
+def sql_signed(lexicon: Lexicon) -> str:
+    """Weight of the token t, flipped when one of the two tokens before it is a negator."""
     negators = ", ".join(f"'{n}'" for n in lexicon.negators)
-    weight = sql_weight(lexicon, "t")
     return (
-        f"list_transform({tokens}, lambda t, i: ({weight}) * CASE WHEN "
-        f"list_has_any({tokens}[greatest(i - 2, 1):i - 1], [{negators}]) THEN -1 ELSE 1 END)"
+        f"({sql_weight(lexicon, 't')}) * CASE WHEN coalesce(lag(t) OVER before IN ({negators}), false) "
+        f"OR coalesce(lag(t, 2) OVER before IN ({negators}), false) THEN -1 ELSE 1 END"
     )
 
 
@@ -174,12 +175,21 @@ cte(
            CAST(len(tokens) AS INTEGER) AS token_count
     FROM (SELECT *, {sql_latin_words('text_norm')} AS tokens
           FROM (SELECT *, {sql_normalize('text')} AS text_norm FROM posts))""",
+    True,
+)
+cte("token_rows", "SELECT id, lang, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM prepared", True)
+cte(
+    "signed_rows",
+    f"""SELECT id, CASE lang {" ".join(f"WHEN '{tag}' THEN {sql_signed(lexicon)}" for tag, lexicon in LEXICONS.items())}
+        END AS w FROM token_rows WINDOW before AS (PARTITION BY id ORDER BY i)""",
 )
 cte(
     "scored",
-    f"""SELECT *, coalesce(list_sum(signed), 0) AS score, len(list_filter(signed, lambda w: w <> 0)) AS hits
-    FROM (SELECT *, CASE lang WHEN 'en' THEN {sql_signed(LEXICONS['en'], 'tokens')}
-                              WHEN 'fr' THEN {sql_signed(LEXICONS['fr'], 'tokens')} END AS signed FROM prepared)""",
+    f"""SELECT prepared.*, CASE WHEN lang IN ({", ".join(f"'{tag}'" for tag in LEXICONS)}) THEN 1 END AS signed,
+        coalesce(s.score, 0) AS score, coalesce(s.hits, 0) AS hits
+    FROM prepared LEFT JOIN (SELECT id, sum(w) AS score, count(*) FILTER (WHERE w <> 0) AS hits FROM signed_rows GROUP BY id) s
+    ON s.id = prepared.id""",
+    True,
 )
 cte(
     "tiers",
@@ -199,6 +209,7 @@ cte(
             regexp_matches(text_norm,
                 '(?i)\\b(help me|trapped|injured|missing|critical|dying|can''t survive|emergency|sos)\\b') AS distress
           FROM scored)""",
+    True,
 )
 cte(
     "merged",
@@ -216,6 +227,7 @@ cte(
         t1_label <> 'UNCERTAIN' AND t2_label <> 'UNCERTAIN' AND (t1_label IN ('NEGATIVE-DISTRESS', 'NEUTRAL')
             OR t2_label = 'NEUTRAL' OR left(t1_label, 3) = left(t2_label, 3)) AS sentiment_agreed
     FROM tiers""",
+    True,
 )
 cte(
     "topic_posts",
@@ -246,3 +258,11 @@ def topic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for lang, topic_id in TOPIC_OF_LANG.items():
         topic = F.when(F.col("lang") == lang, topic_id).otherwise(topic)
     return topic_corpus(labelled(spark, sf_dir)).withColumn("topic_id", topic)
+
+
+def topic_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic_posts as a written stage, for what reads it more than once."""
+    slim = topic_posts(spark, sf_dir).select(
+        "id", "text", "ts", "author", "engagement", "platform", "tokens_lem_str", "final_label", "topic_id"
+    )
+    return stored(slim, "topic-stage")

@@ -9,14 +9,16 @@ UNCERTAIN = "UNCERTAIN"
 LABELS = [POSITIVE, NEGATIVE, NEUTRAL, DISTRESS, UNCERTAIN]
 
 # Characters that count as white space and as word characters in the results.
-SPACE_CHARS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Those up to U+00FF are listed one by one, which Java turns into a bit set.
+LATIN_SPACES = "\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f\\x20\\x85\\xa0"
+WIDE_SPACES = "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE_CHARS = LATIN_SPACES + WIDE_SPACES
 WORD_CHARS = "\\p{L}\\p{N}_"
 
 # Text normalisation.
 RT_PREFIX = f"(?iu)^(?:RT|轉發|轉貼|分享):?[{SPACE_CHARS}]*"
 URL = f"https?://[^{SPACE_CHARS}]+|www\\.[^{SPACE_CHARS}]+"
 MENTION = f"[@＠][{WORD_CHARS}一-鿿]+"
-HASH_SYMBOL = "[#＃]"
 REPEATED_MARK = "([!?。！？.])\\1{2,}"
 
 # Scripts.
@@ -48,7 +50,7 @@ ANNOUNCEMENT_ZH = (
 )
 
 # Tier 1 sentiment rules, English.
-DISTRESS_EN = "(?i)\\b(help me|trapped|injured|missing|critical|dying|can't survive|emergency|sos)\\b"
+DISTRESS_EN = "(?iU)\\b(help me|trapped|injured|missing|critical|dying|can't survive|emergency|sos)\\b"
 SARCASM_EN = (
     f"(?i)(thanks?[{SPACE_CHARS}]+(?:government|gov|officials),?[{SPACE_CHARS}]+very"
     f"|so[{SPACE_CHARS}]+much[{SPACE_CHARS}]+for)"
