@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import amplification as A
 from postlens.operators import brief, clean, eda, profile, review, sentiment, topics
-from postlens.plans import bind as B
+from postlens.plans import bind as B, queries_text  # noqa: F401  (its subqueries are used here)
 from postlens.plans.bind import half_even, pct
 from postlens.plans.catalog import cte, query
 from postlens.plans.queries_eda import clean_counts
@@ -151,9 +151,9 @@ cte(
 )
 
 
-def _signals(spark, sf_dir, posts=None):
-    found = B.topic_stage(spark, sf_dir) if posts is None else posts
-    return A.coordination_for(found, clean.bot_share(clean_counts(spark, sf_dir)))
+def _signals(spark, sf_dir):
+    staged = B.topic_stage(spark, sf_dir)
+    return A.coordination_for(staged, clean.bot_share(clean_counts(spark, sf_dir)))
 
 
 @query("coordination_signals", "SELECT * FROM checklist")
@@ -284,17 +284,16 @@ def limitations(spark, sf_dir):
 
 
 def _brief_lines(spark, sf_dir):
-    staged = B.topic_stage(spark, sf_dir)
-    done = analyse_topics(staged, clean_counts(spark, sf_dir), "en")
+    done = analysis(spark, sf_dir)
     return brief.brief_lines(
-        staged,
+        done.topics,
         done.matrix,
         done.narratives,
         done.findings,
-        A.proxy_engagement(staged),
+        done.engagement,
         A.proxy_author(done.topics),
-        A.burst_stats(staged),
-        A.proxy_duplication(staged),
+        done.bursts,
+        done.duplication,
         done.verdict,
         "en",
         run_date="2024-01-31",

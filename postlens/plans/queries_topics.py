@@ -12,7 +12,7 @@ from postlens.plans.catalog import cte, query
 from postlens.session import stored
 
 DIMS, BINS, MIN_POINTS, MIN_SIZE = 3, 6, 5, 10
-MERGE_AT = 0.2
+MERGE_AT = 0.85
 
 
 @query("topic_corpus", "SELECT id, text_norm FROM prepared WHERE length(text_norm) >= 4")
@@ -236,9 +236,6 @@ def _source_scores(spark, sf_dir):
     return topics.ctfidf(stored(terms, "source-terms"))
 
 
-cte("source_pair_quantiles", "SELECT quantile_cont(cosine, [0.0, 0.1, 0.5, 0.9, 1.0]) AS q FROM source_pairs")
-
-
 @query(
     "similar_topics",
     f"SELECT topic_a, topic_b, {half_even('cosine', 6)} AS cosine FROM source_pairs WHERE cosine >= {MERGE_AT}",
@@ -276,7 +273,7 @@ cte(
 
 def named_posts(spark, sf_dir):
     found = B.topic_stage(spark, sf_dir)
-    drafts = topics.auto_label(found, topics.top_keywords(topics.ctfidf(found)))
+    drafts = stored(topics.auto_label(found, topics.top_keywords(topics.ctfidf(found))), "draft-labels")
     return topics.with_labels(found, drafts), drafts
 
 

@@ -4,53 +4,81 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from postlens.operators import amplification, brief, clean, narrative, prepare, sentiment, topics
 from postlens.schema import Thresholds
+from postlens.session import stored
 
 
 @dataclass(frozen=True)
 class Analysis:
-    summary: DataFrame
     topics: DataFrame
     matrix: DataFrame
     narratives: DataFrame
+    engagement: DataFrame
+    bursts: DataFrame | None
+    duplication: DataFrame
     signals: DataFrame
     verdict: DataFrame
     findings: DataFrame
 
 
 def analyse_topics(
-    labelled: DataFrame, clean_summary: DataFrame, language: str, thresholds: Thresholds = Thresholds()
+    staged: DataFrame, clean_summary: DataFrame, language: str, thresholds: Thresholds = Thresholds()
 ) -> Analysis:
-    """From posts with topic_id and sentiment to findings. All lazy.
+    """From posts with topic_id and final_label to findings.
 
-    ``labelled`` feeds several results, so on a large table give it as a
-    written stage (sources.sinks.write_stage).
+    ``staged`` feeds several results, so give it as a written stage. The
+    results in between have one row per topic or fewer; those used more than
+    once are written too, so that no heavy step is planned twice.
     """
-    keywords = topics.top_keywords(topics.ctfidf(labelled))
-    drafts = topics.auto_label(labelled, keywords)
-    named = topics.with_labels(labelled, drafts)
-    evidence = narrative.narrative_evidence(named, drafts)
-    stories = narrative.narrative_table(evidence, drafts, language)
-    matrix = brief.topic_sentiment(named)
-    signals = amplification.coordination_for(named, clean.bot_share(clean_summary), thresholds)
-    verdict = amplification.coordination_verdict(signals)
-    found = brief.findings(
-        matrix,
-        stories,
-        signals,
-        verdict,
-        amplification.proxy_engagement(named),
-        amplification.proxy_duplication(named),
-        language,
+    drafts = stored(topics.auto_label(staged, topics.top_keywords(topics.ctfidf(staged))), "draft-labels")
+    named = topics.with_labels(staged, drafts)
+    stories = stored(
+        narrative.narrative_table(narrative.narrative_evidence(named, drafts), drafts, language), "narratives"
+    )
+    matrix = stored(brief.topic_sentiment(named), "topic-sentiment")
+    engagement = stored(amplification.proxy_engagement(named), "proxy-engagement")
+    duplication = stored(amplification.proxy_duplication(named), "proxy-duplication")
+    bursts = stored(amplification.burst_stats(named, thresholds.burst_sigma), "bursts") if "ts" in named.columns else None
+    signals = stored(
+        amplification.coordination_signals(
+            engagement,
+            bursts,
+            duplication,
+            clean.bot_share(clean_summary),
+            thresholds.duplication_alarm_pct,
+            thresholds.bot_quarantine_pct,
+        ),
+        "signals",
     )
-    return Analysis(clean_summary, named, matrix, stories, signals, verdict, found)
+    verdict = amplification.coordination_verdict(signals)
+    found = brief.findings(matrix, stories, signals, verdict, engagement, duplication, language)
+    return Analysis(named, matrix, stories, engagement, bursts, duplication, signals, verdict, found)
 
 
-def label_stage(posts: DataFrame, language: str = "auto", lexicons=None, bot_labels=None) -> tuple[DataFrame, DataFrame]:
+def label_stage(
+    posts: DataFrame, language: str = "auto", lexicons=None, bot_labels=None
+) -> tuple[DataFrame, DataFrame]:
     """Clean, prepare and label: (labelled organic posts, clean summary)."""
     streamed = clean.clean_posts(posts, bot_labels) if bot_labels else clean.clean_posts(posts)
     prepared = prepare.prepare_posts(clean.organic_stream(streamed), language)
     return sentiment.label_posts(prepared, lexicons), clean.clean_summary(posts, streamed)
+
+
+def analyse_posts(
+    posts: DataFrame,
+    language: str = "auto",
+    thresholds: Thresholds = Thresholds(),
+    lexicons=None,
+    bot_labels=None,
+    **topic_options,
+) -> Analysis | None:
+    """Canonical posts to findings; None when too few posts are left for topics."""
+    labelled, summary = label_stage(posts, language, lexicons, bot_labels)
+    corpus = stored(topics.topic_corpus(labelled), "labelled")
+    if topics.topic_gate(corpus).where(F.col("skipped")).count():
+        return None
+    found = stored(topics.fit_topics(corpus, min_topic_size=thresholds.min_topic_size, **topic_options), "topics")
+    return analyse_topics(found, stored(summary, "clean-summary"), language, thresholds)
