@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import minhash, quality, toxicity
+from postlens.llm import minhash, mixing, packing, quality, tokens, toxicity
 from postlens.llm.tables import read, stored
 
 
@@ -23,10 +23,22 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_first(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in mixed order; those of small sources come up to twice, none is left out."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of at most 4096 token ids, in the order of the mixture."""
+    return packing.pack(docs, tokens.vocabulary_path())
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("toxicity", toxicity_stage),
     ("near-duplicates", dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import minhash, quality, toxicity
+from postlens.llm import minhash, mixing, packing, quality, tokens, toxicity
 from postlens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return minhash.near_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op8_source_mixing")
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents with their place in the mixture; no source is repeated over twice as often as another."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("tokens"))
+    return mixing.mix(docs, tokens="tokens")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids as pieces of sequences."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
