@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import minhash, mixing, packing, quality, tokens, toxicity
+from postlens.llm import fingerprint, minhash, mixing, packing, quality, tokens, toxicity
 from postlens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids as pieces of sequences."""
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
