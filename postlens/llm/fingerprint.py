@@ -4,12 +4,13 @@ The bytes of a text pass a rolling hash over seven bytes. Where its low bits
 are all ones, a piece ends; at block size b that is one place in b on average.
 A piece's hash gives one sign of a 64-letter alphabet. The block size is the
 smallest power of two with at most ``MOST`` pieces, found from the triggers
-of the whole text (from 1 on for texts below ``SMALL`` bytes, else from 4); the fingerprint ``b:signs:signs`` holds the signs at b and
-at 2b. Two fingerprints are compared at a block size they share by the edit
-distance of their signs, where an exchange counts as a deletion and an
-insertion; without a common run of ``RUN`` signs the likeness is 0.
+of the whole text (from 1 on for texts below ``SMALL`` bytes, else from 4); the fingerprint ``b:signs:signs:signs`` holds the signs at b, 2b
+and 4b. Two fingerprints are compared at the block sizes they share by the
+edit distance of their signs, where an exchange counts as a deletion and an
+insertion and a run of one sign counts as three at most; without a common run
+of ``RUN`` signs the likeness is 0.
 
-Defined results: a null text counts as empty; the empty text has ``1::``, is
+Defined results: a null text counts as empty; the empty text has ``1:::``, is
 like itself by 1 and like all others by 0; equal texts have equal
 fingerprints. Texts are read in segments, so very long ones need no more
 memory than their bytes.
@@ -18,6 +19,7 @@ memory than their bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALL = 4096
 MOST = 64
 RUN = 4
+SIZES = 3
 ROLL = 7
 SEGMENT = 1 << 20
 _BASE = int(powers(2)[0][1])
 _INVERSE = int(powers(2)[1][1])
 _WRAP = (1 << 64) - 1
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 _SIGNS = np.frombuffer(LETTERS.encode(), dtype=np.uint8)
 
 
@@ -81,13 +85,13 @@ def signs(ends: np.ndarray, sums: np.ndarray) -> str:
 def fingerprint(text: str) -> str:
     data = text.encode("utf-8", "surrogatepass")
     if not data:
-        return "1::"
+        return "1:::"
     level = 0 if len(data) < SMALL else 2
     ends, levels, sums = triggers(data, 1 << level)
     while np.count_nonzero(levels >= level) > MOST:
         level += 1
-    fine, coarse = levels >= level, levels >= level + 1
-    return f"{1 << level}:{signs(ends[fine], sums[fine])}:{signs(ends[coarse], sums[coarse])}"
+    kept = [levels >= level + step for step in range(SIZES)]
+    return ":".join([str(1 << level), *(signs(ends[k], sums[k]) for k in kept)])
 
 
 def common_length(a: str, b: str) -> int:
@@ -120,14 +124,16 @@ def likeness(one: str, other: str) -> float:
     """0 to 1; 0 where no block size is shared."""
     if one == other:
         return 1.0
-    size_a, fine_a, coarse_a = one.split(":")
-    size_b, fine_b, coarse_b = other.split(":")
-    a, b = {int(size_a): fine_a, 2 * int(size_a): coarse_a}, {int(size_b): fine_b, 2 * int(size_b): coarse_b}
-    if not (fine_a and fine_b):
-        return 0.0
+    a, b = by_size(one), by_size(other)
     return max((sign_likeness(a[k], b[k]) for k in a.keys() & b.keys()), default=0.0)
 
 
+def by_size(mark: str) -> dict[int, str]:
+    """Block size -> signs, runs shortened; none for the empty text."""
+    size, *found = mark.split(":")
+    return {int(size) << step: _LONG_RUN.sub(r"\1\1\1", s) for step, s in enumerate(found) if s}
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as much of the next one's start."""
     half = len(text) // 2
