@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import fingerprint, minhash, mixing, packing, quality, tokens, toxicity
+from postlens.llm import fingerprint, licenses, minhash, mixing, packing, quality, tokens, toxicity, urls
 from postlens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piecewise fingerprints of all documents and of their edited texts."""
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan", licenses.oracle())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, licence and notices of every document."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+URL_ORACLE = """
+WITH parts AS (
+  SELECT page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+addressed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(
+    regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(index\\.html?|default\\.aspx?)$', ''), '/$', '') END AS address FROM parts),
+fits AS (
+  SELECT p.page_id, p.host, p.path, r.verdict, r.rule,
+    row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(r.rule) DESC, r.rule) AS place
+  FROM parts p JOIN (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+    ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'),
+    ('block', 'net/fr/', 'net', '/fr/')) r(verdict, rule, name, start)
+  ON (p.host = r.name OR ends_with(p.host, '.' || r.name)) AND starts_with(p.path, r.start)),
+listed AS (SELECT address FROM addressed WHERE address IS NOT NULL GROUP BY address HAVING count(*) > 1)
+SELECT a.page_id, a.host, a.path, f.rule,
+  CASE WHEN f.rule IS NOT NULL THEN f.verdict WHEN l.address IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  f.rule IS NULL AND l.address IS NOT NULL AS listed
+FROM addressed a LEFT JOIN fits f ON f.page_id = a.page_id AND f.place = 1 LEFT JOIN listed l ON l.address = a.address
+"""
+
+
+@query("op6_url_filter", URL_ORACLE)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; listed are the addresses that more than one page claims."""
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.shared_addresses(pages))
