@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import fingerprint, licenses, minhash, mixing, packing, quality, tokens, toxicity, urls
+from postlens.llm import fingerprint, html, licenses, minhash, mixing, packing, quality, tokens, toxicity, urls
 from postlens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url; listed are the addresses that more than one page claims."""
     pages = read(spark, sf_dir, "pages")
     return urls.judge(pages, urls.shared_addresses(pages))
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
