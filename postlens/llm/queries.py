@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import fingerprint, html, licenses, minhash, mixing, packing, quality, tokens, toxicity, urls
+from postlens.llm import (
+    fingerprint,
+    html,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    tokenfiles,
+    tokens,
+    toxicity,
+    urls,
+)
 from postlens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +116,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to token files and read back from them."""
+    files = tokenfiles.write(read(spark, sf_dir, "documents"), tokens.vocabulary_path())
+    rows = tokenfiles.read(files)
+    return rows.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
