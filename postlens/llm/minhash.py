@@ -9,9 +9,13 @@ the set. 32 bands of 4 coordinates make candidate pairs: a pair at similarity
 Documents of one set are one class from the start. In each bucket a member is
 compared with the bucket's leader, first the smallest id, then one drawn by a
 hash; only members of buckets that still hold several components are compared
-again, at last each with every member of the other components. So no pair of
-a bucket is left out but those already connected, and a large group of copies
-costs one comparison a member.
+again. At last each meets every member of the other components: as pairs in
+buckets of up to ``PAIRS_UP_TO`` members, and in larger ones chunk by chunk.
+Each member of a large bucket has one chunk of bounded size, that carries the
+full sets; two chunks that meet in a bucket are compared at once by a product
+of their incidence matrices, and only the links come out. So no pair of a
+bucket is left out but those already connected, and no group is expanded into
+rows of pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; fewer than five words are one shingle; repeated
@@ -34,6 +38,9 @@ from postlens.llm.words import mix64, shingle_set
 BANDS = 32
 ROWS = 4
 SIMILARITY = 75
+PAIRS_UP_TO = 12
+CHUNK_SHINGLES = 1 << 16
+CHUNK_MEMBERS = 512
 _SLICE = 512
 
 
@@ -127,9 +134,10 @@ def _open(named: DataFrame) -> DataFrame:
     least = F.min(F.struct("rep", "n", "root"))
     return (
         named.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), least.alias("first"), drawn.alias("drawn"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), least.alias("first"), drawn.alias("drawn"),
+             F.count("*").alias("members"))
         .where("low <> high")
-        .select(F.col("key").alias("open_key"), "first", "drawn")
+        .select(F.col("key").alias("open_key"), "first", "drawn", "members")
     )
 
 
@@ -149,8 +157,7 @@ def _with_leader(named: DataFrame, which: str) -> DataFrame:
     return _pairs(named.join(keys, named["key"] == keys["open_key"]))
 
 
-def _all_across(named: DataFrame) -> DataFrame:
-    keys = _open(named).select("open_key")
+def _all_across(named: DataFrame, keys: DataFrame) -> DataFrame:
     rows = named.join(keys, named["key"] == keys["open_key"], "left_semi")
     others = rows.select(
         F.col("key").alias("other_key"), F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")
@@ -158,6 +165,87 @@ def _all_across(named: DataFrame) -> DataFrame:
     return _pairs(rows.join(others, (F.col("key") == F.col("other_key")) & (F.col("root") < F.col("other_root"))))
 
 
+def _chunks(named: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members(rep, root, chunk), cells(left_chunk, right_chunk)) of the large buckets.
+
+    A member's chunk lies in the largest of its buckets and holds about
+    ``CHUNK_SHINGLES`` shingles and ``CHUNK_MEMBERS`` members.
+    """
+    rows = stored(named.join(keys, named["key"] == keys["open_key"]).drop("open_key"), "large-buckets")
+    home = rows.groupBy("rep").agg(
+        F.max(F.struct("members", "key")).alias("home"), F.first("n").alias("n"), F.first("root").alias("root")
+    )
+    parts = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_MEMBERS)).cast("bigint")
+    sizes = home.groupBy(F.col("home.key").alias("home_key")).agg(parts.alias("parts"))
+    members = home.join(sizes, F.col("home.key") == F.col("home_key")).select(
+        "rep", "root", F.xxhash64("home_key", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("chunk")
+    )
+    members = stored(members, "chunk-members")
+    met = rows.select("key", "rep").join(members.select("rep", "chunk"), "rep").select("key", "chunk").distinct()
+    left, right = met.withColumnRenamed("chunk", "left_chunk"), met.withColumnRenamed("chunk", "right_chunk")
+    cells = left.join(right, "key").where("left_chunk <= right_chunk").select("left_chunk", "right_chunk").distinct()
+    return members, cells
+
+
+def _sets():
+    def work(batch: dict) -> dict:
+        return batch | {"marks": [shingle_set(t or "").tobytes() for t in batch["text"]]}
+
+    return work
+
+
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    grid = np.zeros((len(sets), len(columns)), dtype=np.float32)
+    for i, marks in enumerate(sets):
+        at = np.searchsorted(columns, marks)
+        at[at == len(columns)] = 0
+        grid[i, at[columns[at] == marks]] = 1
+    return grid
+
+
+def linked_pairs(left: list[tuple], right: list[tuple], same: bool) -> list[tuple[int, int]]:
+    """Links between members (id, root, set) of two chunks in different components."""
+    if len({m[1] for m in left} | {m[1] for m in right}) < 2:
+        return []
+    a, b = [m[2] for m in left], [m[2] for m in right]
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, len(shared), 4096):
+        columns = shared[at : at + 4096]
+        both += _incidence(a, columns) @ _incidence(b, columns).T
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    whole = size_a[:, None] + size_b[None, :] - both
+    fits = (both > 0) & (100 * both.astype(np.float64) >= SIMILARITY * whole)
+    fits &= np.array([m[1] for m in left])[:, None] != np.array([m[1] for m in right])[None, :]
+    if same:
+        fits = np.triu(fits, 1)
+    return [(left[i][0], right[j][0]) for i, j in np.argwhere(fits).tolist()]
+
+
+def _cell_links():
+    def members(side: list[dict]) -> list[tuple]:
+        return [(m["rep"], m["root"], np.frombuffer(m["marks"], dtype=np.uint64)) for m in side]
+
+    def work(batch: dict) -> dict:
+        links: list[tuple[int, int]] = []
+        for i, j, left, right in zip(batch["left_chunk"], batch["right_chunk"], batch["left_members"], batch["right_members"]):
+            links += linked_pairs(members(left), members(right), i == j)
+        return {"a": [min(x) for x in links], "b": [max(x) for x in links]}
+
+    return work
+
+
+def chunk_links(named: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components in the large buckets."""
+    members, cells = _chunks(named, keys)
+    found = texts.join(members, texts["doc_id"] == members["rep"]).select("rep", "root", "chunk", "text")
+    sets = map_rows(found, _sets, "rep bigint, root bigint, chunk bigint, marks binary").dropDuplicates(["rep"])
+    chunks = stored(sets.groupBy("chunk").agg(F.collect_list(F.struct("rep", "root", "marks")).alias("held")), "chunks")
+    left = chunks.select(F.col("chunk").alias("left_chunk"), F.col("held").alias("left_members"))
+    right = chunks.select(F.col("chunk").alias("right_chunk"), F.col("held").alias("right_members"))
+    return map_rows(cells.join(left, "left_chunk").join(right, "right_chunk"), _cell_links, "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     found = stored(sketches(docs), "sketches")
@@ -169,22 +257,23 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"))
     buckets = stored(spread.join(shared, spread["key"] == shared["k"], "left_semi"), "buckets")
     texts = docs.select("doc_id", "text")
-    tested: DataFrame | None = None
+    links: DataFrame | None = None
     roots: DataFrame | None = None
-    for step in ("first", "drawn", "all"):
+    for leader in ("first", "drawn"):
         named = _with_roots(buckets, roots)
-        pairs = _all_across(named) if step == "all" else _with_leader(named, step)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        results = stored(confirm(pairs, texts).distinct(), "confirmed")
-        tested = results if tested is None else tested.unionByName(results)
-        roots = stored(components(tested.where("linked").select("a", "b")), "roots")
+        pairs = stored(_with_leader(named, leader), "pairs")
+        found_links = stored(confirm(pairs, texts).where("linked").select("a", "b").distinct(), "links")
+        links = found_links if links is None else links.unionByName(found_links)
+        roots = stored(components(links), "roots")
+    named = stored(_with_roots(buckets, roots), "named-buckets")
+    keys = stored(_open(named), "open-buckets")
+    pairs = stored(_all_across(named, keys.where(F.col("members") <= PAIRS_UP_TO)), "pairs")
+    links = links.unionByName(stored(confirm(pairs, texts).where("linked").select("a", "b").distinct(), "links"))
+    large = keys.where(F.col("members") > PAIRS_UP_TO).select("open_key", "members")
+    links = links.unionByName(stored(chunk_links(named, large, texts), "links"))
+    roots = stored(components(links), "roots")
     classes = reps.select(F.col("digest").alias("class_digest"), "rep")
-    if roots is not None:
-        classes = classes.join(roots, classes["rep"] == roots["id"], "left").withColumn("rep", F.coalesce("root", "rep"))
+    classes = classes.join(roots, classes["rep"] == roots["id"], "left").withColumn("rep", F.coalesce("root", "rep"))
     classes = classes.select("class_digest", F.col("rep").alias("class_id"))
     joined = found.join(classes, found["digest"] == classes["class_digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
