@@ -37,7 +37,7 @@ _DOCUMENT = pa.struct(
 
 
 class Segments:
-    """Cuts a stream of documents into segments: (start, documents, ids)."""
+    """Cuts a stream of documents into segments: (start, documents, ids). Only documents above a segment's size are cut."""
 
     def __init__(self, size: int = SEGMENT):
         self.size, self.start, self.number = size, 0, 0
@@ -47,6 +47,8 @@ class Segments:
 
     def add(self, doc_id: int | None, ids: bytes):
         at, total = 0, len(ids) // 4
+        if self.length + total > self.size:
+            yield from self.flush()
         while at < total:
             taken = min(total - at, self.size - self.length)
             self.documents.append(
@@ -132,13 +134,14 @@ def bases(files: DataFrame) -> DataFrame:
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, ids): each document's ids as little-endian 32-bit integers and the number of ids before it.
 
-    Only documents that reach over a segment's end are put together by a
-    shuffle. The parts' bases (a row a part) are broadcast.
+    Only documents larger than a segment are put together by a shuffle. The
+    parts' bases (a row a part) are broadcast.
     """
-    pieces = read_pieces(files)
-    whole = pieces.where("first AND last").select("part", "doc_id", "start", "ids")
+    is_cut = F.exists("documents", lambda d: ~(d["first"] & d["last"]))
+    whole = read_pieces(files).where("first AND last").select("part", "doc_id", "start", "ids")
     split = (
-        pieces.where("NOT (first AND last)")
+        read_pieces(files.where(is_cut))
+        .where("NOT (first AND last)")
         .groupBy("part", "number")
         .agg(
             F.first("doc_id").alias("doc_id"),
