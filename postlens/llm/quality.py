@@ -173,8 +173,8 @@ def _hashed():
             text = text or ""
             s, v = features(text, words_of(text).hashes)
             used, back = np.unique(s, return_inverse=True)
-            slots.append(used.astype(np.int32).tolist())
-            shares.append(np.bincount(back, v).astype(np.float32).tolist() if len(used) else [])
+            slots.append(used.astype("<i4").tobytes())
+            shares.append(np.bincount(back, v).astype("<f4").tobytes() if len(used) else b"")
         return {"doc_id": batch["doc_id"], "y": batch["y"], "slots": slots, "shares": shares}
 
     return work
@@ -189,13 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model |
     """
     picked = F.broadcast(sample_of(labels, "quality", most))
     texts = docs.select("doc_id", "text").join(picked, "doc_id")
-    found = map_rows(texts, _hashed, "doc_id bigint, y int, slots array<int>, shares array<float>")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["slots"]))
+    found = map_rows(texts, _hashed, "doc_id bigint, y int, slots binary, shares binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))
     if len({r["y"] for r in rows}) < 2:
         return None
     split: tuple[list, list] = ([], [])
     for i, r in enumerate(rows):
-        split[i % 4 == 3].append((np.array(r["slots"], dtype=np.int64), np.array(r["shares"], dtype=np.float64), r["y"]))
+        split[i % 4 == 3].append((np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["y"]))
     fitted, held = split
     return fit(fitted, held) if len({r[2] for r in fitted}) == 2 else None
 
