@@ -1,9 +1,13 @@
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+ROOT = Path(__file__).resolve().parents[1]
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])  # for Python workers
 
 from postlens.session import build_session  # noqa: E402
 
@@ -13,7 +17,12 @@ def spark():
     session = build_session(
         "postlens-tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='postlens-tests-')}",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
