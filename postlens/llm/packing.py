@@ -1,8 +1,9 @@
 """Order-preserving packing of token streams into sequences, cut by dynamic programming.
 
 The ids of the documents, each followed by an end id, form a stream in the
-order of the input. Window cuts lie at the end of a document or sentence (or,
-where those are further apart than a sequence, at the latest place that fits).
+order of the input. Window cuts lie at the end of a document or sentence, or,
+where those are more than ``LONG_SENTENCE`` ids apart, at a higher price at
+places every ``STRIDE`` ids.
 A window costs its padding, a fixed price, and a penalty when it ends inside a
 document. A window whose length is a power of two needs no padding, any other
 is padded to the full length. The least total is found over all cuts: for
@@ -34,7 +35,9 @@ LENGTH = 4096
 END_ID = 2
 RUN = 1 << 20
 SENTENCE_CUT = 6
-FORCED_CUT = 64
+FORCED_CUT = 32
+LONG_SENTENCE = 64
+STRIDE = 32
 WINDOW_PRICE = 2
 
 PIECES = (
@@ -47,9 +50,9 @@ def candidates(sentence: np.ndarray, document: np.ndarray, total: int, length: i
     places = np.union1d(sentence, document)
     places = np.union1d(places[(places > 0) & (places < total)], [total])
     gaps = np.diff(np.concatenate(([0], places)))
-    forced = [
-        np.arange(end - gap + length, end, length) for end, gap in zip(places[gaps > length], gaps[gaps > length])
-    ]
+    long = gaps > min(LONG_SENTENCE, length)
+    stride = min(STRIDE, length)
+    forced = [np.arange(end - gap + stride, end, stride) for end, gap in zip(places[long], gaps[long])]
     if forced:
         places = np.union1d(places, np.concatenate(forced))
     penalty = np.full(len(places), FORCED_CUT, dtype=np.int64)
