@@ -80,8 +80,11 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None = MAX_REPEATS,
     within the limit of repeats.
     """
     low, high = 0.0, 1.0
+    if sources.isEmpty():
+        return high
     for _ in range(STEPS):
-        points = [low + (high - low) * i / FANOUT for i in range(FANOUT + 1)]
+        step = (high - low) / FANOUT
+        points = [low + step * i for i in range(FANOUT + 1)]
         found = _measure(sources, points)
         if entropy is not None:
             fits = [p for p in points if found[p][0] >= entropy]
@@ -93,7 +96,7 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None = MAX_REPEATS,
             if not fits:
                 return low
             low = max(fits)
-        high = min(low + (high - low) / FANOUT, high)
+        high = min(low + step, high)
     return low if entropy is not None else high
 
 
@@ -145,8 +148,8 @@ def mix(
         given.join(broadcast_sources(wanted), given["source"] == wanted["of"])
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs - 1, 0)))))
         .where(F.col("epoch") * F.col("size") < F.col("quota"))
-        .withColumn("order", F.xxhash64("key", "epoch"))
-        .withColumn("range", F.floor((F.shiftrightunsigned("order", 1) / F.lit(float(1 << 63))) * n_ranges).cast("int"))
+        .withColumn("order", F.shiftrightunsigned(F.xxhash64("key", "epoch"), 1))
+        .withColumn("range", F.floor(F.col("order") / F.lit(float(1 << 63)) * n_ranges).cast("int"))
     )
     return place(copies, n_blocks, carried)
 
