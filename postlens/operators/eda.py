@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlens.session import stored
 from postlens.functions.numbers import percent, round_half_even, to_number, total
 from postlens.functions.quantiles import quantiles, top_share
 from postlens.functions.text import is_valid_text
@@ -26,9 +27,14 @@ def volume_6h(posts: DataFrame) -> DataFrame:
         .groupBy(F.window("ts", SIX_HOURS).start.alias("bin_start"))
         .agg(F.count("id").alias("n_posts"))
     )
-    bins = filled.agg(F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 6 hours"))).alias("bin_start")
-    )
+    filled = stored(filled, "volume-bins")
+    low, high = filled.agg(F.min("bin_start"), F.max("bin_start")).first()  # one row
+    kind = filled.schema["bin_start"].dataType
+    count = 0 if low is None else int((high - low).total_seconds() // 21600) + 1
+    # The numbers of the bins are made in parallel, however far apart the first and the last one are.
+    numbers = posts.sparkSession.range(count)
+    start = F.lit(low).cast(kind) + F.make_dt_interval(F.lit(0), F.col("id").cast("int") * 6)
+    bins = numbers.select(start.cast(kind).alias("bin_start"))
     return bins.join(filled, "bin_start", "left").select(
         "bin_start", F.coalesce("n_posts", F.lit(0)).alias("n_posts")
     )

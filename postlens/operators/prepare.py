@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import text as T
-from postlens.functions.numbers import let, round_half_even
+from postlens.functions.numbers import round_half_even
 from postlens.functions.quantiles import quantiles
 from postlens.functions.ranking import top_k_per_group
+from postlens.seeds import words as W
 
 PROFILE_SIZE = 300
-MAX_LANGUAGES = 200
+ENGLISH_WORDS = ("the", "and", "of", "to", "is", "are", "was", "with", "this", "that", "for", "have", "you", "we")
 
 
 def assign_language(posts: DataFrame, declared: str = "auto", text_col: str = "text_norm", detector=None) -> DataFrame:
@@ -41,36 +42,33 @@ def language_profiles(
     return top_k_per_group(counts, ["lang"], [F.desc("n"), F.asc("trigram")], size, "trigram")
 
 
-def fit_language_detector(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE):
-    """Train on labelled text and return ``text column -> language column``.
+def detect_language(
+    posts: DataFrame, profiles: DataFrame, text_col: str = "text", id_col: str = "id"
+) -> DataFrame:
+    """Adds lang: zh-TW or zh by script, 'auto' for short text, else the profile that covers most of the trigrams.
+
+    ``profiles`` has lang and trigram. Each post's distinct trigrams, with
+    their counts, are joined with it; ties go to the first tag, no hit gives
+    'auto'. Posts that only differ in other columns share ``id_col``.
+    """
+    grams = posts.select(F.col(id_col).alias("gram_id"), F.explode(T.char_trigrams(F.lower(text_col))).alias("trigram"))
+    grams = grams.groupBy("gram_id", "trigram").agg(F.count(F.lit(1)).alias("uses"))
+    hits = grams.join(profiles.select(F.col("lang").alias("tag"), "trigram"), "trigram")
+    hits = hits.groupBy("gram_id", "tag").agg(F.sum("uses").alias("hits"))
+    best = hits.groupBy("gram_id").agg(F.min_by("tag", F.struct(-F.col("hits"), F.col("tag"))).alias("best"))
+    joined = posts.join(best, posts[id_col] == best["gram_id"], "left")
+    other = F.coalesce(F.col("best"), F.lit("auto"))
+    return joined.withColumn("lang", T.script_language(F.col(text_col), "auto", lambda _: other)).drop("gram_id", "best")
+
+
+def latin_default(text: Column) -> Column:
+    """The detector of a pipeline without profiles: English where a word of its lists occurs, else 'auto'.
 
-    The model is the profile table: at most ``size`` trigrams for at most
-    MAX_LANGUAGES languages, so it is small enough to live in the expression.
-    A row's language is the one whose profile covers most of its trigrams;
-    ties go to the first tag, no hit at all gives 'auto'.
+    English is the one Latin-script language with a shipped lexicon.
     """
-    rows = language_profiles(labelled, text_col, lang_col, size).limit(size * MAX_LANGUAGES + 1).collect()
-    if len(rows) > size * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col!r}")
-    profiles: dict[str, list[str]] = {}
-    for row in rows:
-        profiles.setdefault(row["lang"], []).append(row["trigram"])
-
-    def best_of(grams: Column) -> Column:
-        def hits(known: list[str]) -> Column:
-            return F.size(F.filter(grams, lambda g: g.isin(known)))
-
-        ranked = [
-            F.struct(hits(profiles[tag]).alias("hits"), F.lit(-order).alias("order"), F.lit(tag).alias("tag"))
-            for order, tag in enumerate(sorted(profiles))
-        ]
-        return F.array_max(F.array(*ranked))
-
-    def detect(text: Column) -> Column:
-        best = let(T.char_trigrams(F.lower(text)), best_of)
-        return let(best, lambda b: F.when(b["hits"] > 0, b["tag"]).otherwise(F.lit("auto")))
-
-    return detect
+    known = {*W.STOPWORDS["en"], *W.EN_POSITIVE, *W.EN_NEGATIVE, *W.EN_NEGATORS, *W.EN_INTENSIFIERS, *ENGLISH_WORDS}
+    words = "|".join(sorted(known))
+    return F.when(F.lower(text).rlike(f"(?<![a-z'])(?:{words})(?![a-z'])"), F.lit("en")).otherwise(F.lit("auto"))
 
 
 def prepare_posts(

@@ -47,11 +47,11 @@ def schema_question(roles: DataFrame, run_id: str = "run") -> DataFrame:
         "schema_infer",
         "confirm",
         F.lit(
-            "I propose this column → role mapping. Confirm or correct. If you reject, I'll re-infer with your hint."
+            "These roles were read from the columns. Approve them, or name the right column for each role."
         ),
         proposed,
         proposed,
-        F.lit("schema confidence=MODERATE"),
+        F.lit("roles are a guess from names and values"),
         True,
     )
 
@@ -63,10 +63,10 @@ def skew_question(skewed: DataFrame, run_id: str = "run") -> DataFrame:
         f"eda-skew-{run_id}",
         "eda",
         "open",
-        F.format_string("This dataset is dominated by %s (%.0f%%).", F.col("platform"), F.col("pct")),
+        F.format_string("%s alone accounts for %.0f%% of the posts. Is that expected?", F.col("platform"), F.col("pct")),
         F.to_json(F.struct("platform", "n", "pct")),
         F.lit(None).cast("string"),
-        F.format_string("top platform %s > 60%% of data and no platform memory", F.col("platform")),
+        F.format_string("one platform, %s, holds over 60%% of the posts", F.col("platform")),
         False,
     )
 
@@ -85,11 +85,11 @@ def calibration_question(
         "sentiment",
         "calibrate",
         F.format_string(
-            f"My rule-based and lexicon-based labels disagree on %s%% of posts (threshold {threshold_pct}%%).", pct
+            f"Rules and word list differ on %s%% of the posts, above {threshold_pct}%%. Which label fits these samples?", pct
         ),
         payload,
         payload,
-        F.format_string(f"T1/T2 disagreement %s%% > {threshold_pct}%% threshold", pct),
+        F.format_string(f"labels differ on %s%% of the posts, limit {threshold_pct}%%", pct),
         False,
     )
 
@@ -103,10 +103,10 @@ def topic_question(summary: DataFrame, labels: DataFrame, run_id: str = "run") -
         f"topic-label-{run_id}",
         "topic",
         "label",
-        F.format_string("%d clusters found; please refine the draft labels.", F.col("topic_count")),
+        F.format_string("%d topics have draft names only. Give each a name of your own.", F.col("topic_count")),
         payload,
         payload,
-        F.format_string("%d unlabeled clusters", F.col("topic_count")),
+        F.format_string("%d topics without a name", F.col("topic_count")),
         True,
     )
 

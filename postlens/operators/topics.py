@@ -1,8 +1,9 @@
 """Topics: corpus, vectors, reduction, density clusters, keywords, labels.
 
 Clusters come from a density grid in the style of CLIQUE (Agrawal et al.,
-SIGMOD 1998): posts are counted per cell of a bounded grid, dense cells that
-share a face grow together, everything else is an outlier. Posts are touched
+SIGMOD 1998): posts are counted per cell of a grid over the middle 98 % of each
+axis (posts beyond lie in the border cells), dense cells that share a face grow
+together, everything else is an outlier. Posts are touched
 once to find their cell, so neither copies of one text nor a crowded region
 ever form pairs of posts.
 """
@@ -26,8 +27,7 @@ from postlens.session import stored
 MIN_TEXT_CHARS = 4
 MIN_ROWS = 30
 OUTLIER = -1
-MAX_CELLS = 200_000
-MAX_TERMS = 5000
+BOX = (0.01, 0.99)
 MIN_DF = 2
 
 # Labels of the outlier class and of drafts.
@@ -102,12 +102,13 @@ def walsh_coords(embedding: Column, dims: int) -> Column:
 
 
 def _cell_column(coords: str, lows: list[Column], highs: list[Column], bins: int) -> Column:
-    """Grid cell as one number, mixed radix over the axes; the top edge belongs to the last slice."""
+    """Grid cell as one number, mixed radix over the axes; what lies beyond an edge belongs to the slice there."""
     parts = []
     for axis in range(len(lows)):
         width = (highs[axis] - lows[axis]) / bins
         position = (F.get(F.col(coords), F.lit(axis)) - lows[axis]) / width
-        slot = F.when(width > 0, F.least(F.floor(position), F.lit(bins - 1))).otherwise(F.lit(0))
+        inside = F.greatest(F.least(F.floor(position), F.lit(bins - 1)), F.lit(0))
+        slot = F.when(width > 0, inside).otherwise(F.lit(0))
         parts.append(slot.cast("bigint") * bins**axis)
     return reduce(lambda a, b: a + b, parts)
 
@@ -124,13 +125,13 @@ def density_topics(
 
     A cell is dense with at least ``min_points`` posts; dense cells that share
     a face belong together; groups below ``min_topic_size`` posts are outliers.
-    The grid has at most MAX_CELLS cells, which bounds every table but the posts.
+    Only cells with posts make rows. The grid spans the middle of each axis, by
+    approximate quantiles in one pass, so a post far out does not widen it.
     """
-    if bins**dims > MAX_CELLS:
-        raise ValueError(f"{bins}^{dims} cells exceed {MAX_CELLS}; use fewer bins or dimensions")
     edges = [F.get(F.col(coords), F.lit(a)) for a in range(dims)]
     box = located.agg(
-        F.array(*[F.min(e) for e in edges]).alias("low"), F.array(*[F.max(e) for e in edges]).alias("high")
+        F.array(*[F.percentile_approx(e, BOX[0], 10_000) for e in edges]).alias("low"),
+        F.array(*[F.percentile_approx(e, BOX[1], 10_000) for e in edges]).alias("high"),
     )
     placed = located.withColumns({"low": box.select("low").scalar(), "high": box.select("high").scalar()}).withColumn(
         "cell",
@@ -145,9 +146,8 @@ def density_topics(
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     dense = stored(cells.where(F.col("n") >= min_points), "dense-cells")
     topics = number_topics(grow_cells(dense, dims, bins), min_topic_size)
-    # topics has at most bins^dims rows (checked above)
     return (
-        placed.join(F.broadcast(topics), "cell", "left")
+        placed.join(topics, "cell", "left")
         .withColumn("topic_id", F.coalesce("topic_id", F.lit(OUTLIER)))
         .drop("cell")
     )
@@ -168,7 +168,7 @@ def grow_cells(dense: DataFrame, dims: int, bins: int) -> DataFrame:
 def number_topics(grown: DataFrame, min_topic_size: int) -> DataFrame:
     """cell, topic_id for the components that are large enough; ids by falling size."""
     sizes = grown.groupBy("component").agg(F.sum("n").alias("size")).where(F.col("size") >= min_topic_size)
-    # At most MAX_CELLS components, hence a window without partitions.
+    # One row a topic, hence a window without partitions.
     by_size = Window.orderBy(F.desc("size"), F.asc("component"))
     ids = sizes.withColumn("topic_id", (F.row_number().over(by_size) - 1).cast("int"))
     return grown.join(ids.select("component", "topic_id"), "component").select("cell", "topic_id")
@@ -210,8 +210,8 @@ def topic_term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocab(topics: DataFrame, df_unit: str = "topic", min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
-    """term, df, tf: terms in at least ``min_df`` topics (or posts), the most frequent ones first."""
+def vocab(topics: DataFrame, df_unit: str = "topic", min_df: int = MIN_DF, max_terms: int | None = None) -> DataFrame:
+    """term, df, tf: terms in at least ``min_df`` topics (or posts); with ``max_terms`` only the most frequent ones."""
     if df_unit == "topic":
         per_unit = topic_term_counts(corpus_terms(topics)).select("term", "tf", F.lit(1).alias("df"))
     else:
@@ -222,16 +222,11 @@ def vocab(topics: DataFrame, df_unit: str = "topic", min_df: int = MIN_DF, max_t
             F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
         )
         per_unit = topics.select(F.inline(F.concat(uses, once)))
-    return (
-        per_unit.groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), F.asc("term"))
-        .limit(max_terms)
-    )
+    terms = per_unit.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
+    return terms if max_terms is None else terms.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms)
 
 
-def ctfidf(topics: DataFrame, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
+def ctfidf(topics: DataFrame, min_df: int = MIN_DF, max_terms: int | None = None) -> DataFrame:
     """topic_id, term, tf, score: class TF-IDF (Grootendorst 2022) over the vocabulary.
 
     score = tf / words in the topic * ln(1 + A / uses of the term), A = mean words per topic.
@@ -241,12 +236,11 @@ def ctfidf(topics: DataFrame, min_df: int = MIN_DF, max_terms: int = MAX_TERMS)
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
         .where(F.col("df") >= min_df)
-        .orderBy(F.desc("uses"), F.asc("term"))
-        .limit(max_terms)
         .select("term", "uses")
     )
-    # The vocabulary has at most max_terms rows.
-    kept = counts.join(F.broadcast(terms), "term")
+    if max_terms is not None:
+        terms = terms.orderBy(F.desc("uses"), F.asc("term")).limit(max_terms)
+    kept = counts.join(terms, "term")
     sizes = kept.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     mean_words = sizes.agg(F.floor(F.avg("words")).alias("mean")).scalar()
     idf = F.log(F.lit(1.0) + mean_words / F.col("uses"))
@@ -389,7 +383,16 @@ def fit_topics(
     min_topic_size: int = Thresholds.min_topic_size,
     width: int = 256,
     model: Callable | None = None,
+    merge_at: float | None = 0.7,
 ) -> DataFrame:
-    """Vectors, reduction, clusters: adds topic_id to the corpus."""
+    """Vectors, reduction, clusters, and topics of alike words merged: adds topic_id to the corpus.
+
+    ``merge_at`` is the least cosine of two topics' term scores; None keeps all apart.
+    """
     located = stored(reduce_dims(embed_posts(corpus, width=width, model=model), dims).drop("vector"), "coords")
-    return density_topics(located, dims, bins, min_points, min_topic_size).drop("coords")
+    found = density_topics(located, dims, bins, min_points, min_topic_size).drop("coords")
+    if merge_at is None:
+        return found
+    found = stored(found, "raw-topics")
+    merged = merge_topics(ctfidf(found.where(F.col("topic_id") != OUTLIER)), merge_at)
+    return found.join(merged, "topic_id", "left").withColumn("topic_id", F.coalesce("merged_id", "topic_id").cast("int")).drop("merged_id")

@@ -22,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its event: id, text, ts, author, engagement, platform, lang."""
+    """Every event as a post: id, text, ts, author, engagement, platform, lang.
+
+    There are more events than documents; event e has the text of document
+    e modulo the number of documents.
+    """
     documents, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    return documents.join(events, documents["doc_id"] == events["event_id"]).select(
-        F.col("doc_id").cast("string").alias("id"),
+    n = documents.count()
+    return events.join(documents, F.pmod(events["event_id"], F.lit(n)) == documents["doc_id"]).select(
+        F.col("event_id").cast("string").alias("id"),
         "text",
         "ts",
         F.col("event_type").alias("author"),
@@ -37,9 +42,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cte(
     "posts",
-    """SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text, e.ts, e.event_type AS author, e.value AS engagement,
+    """SELECT CAST(e.event_id AS VARCHAR) AS id, d.text, e.ts, e.event_type AS author, e.value AS engagement,
            d.source AS platform, d.lang
-    FROM documents d JOIN events e ON d.doc_id = e.event_id""",
+    FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
 )
 
 

@@ -11,7 +11,7 @@ from postlens.plans.bind import half_even, pct
 from postlens.plans.catalog import cte, query
 from postlens.plans.queries_eda import clean_counts
 from postlens.plans.queries_topics import named_posts
-from postlens.plans.run import Analysis, analyse_topics
+from postlens.plans.run import Analysis, analyse_posts, analyse_topics
 from postlens.schema import Thresholds
 from postlens.seeds.patterns import LABELS
 from postlens.seeds.phrases import phrase
@@ -89,7 +89,7 @@ cte("post_bursts", _stats_sql("post_hours"))
 @query(
     "proxy_bursts",
     f"""SELECT strftime(hour, {SQL_TS}) AS hour, n FROM event_hours
-    WHERE n > (SELECT avg(n) + 3 * stddev_samp(n) FROM event_hours) ORDER BY hour LIMIT 10""",
+    WHERE n > (SELECT avg(n) + 3 * stddev_samp(n) FROM event_hours) ORDER BY hour""",
 )
 def proxy_bursts(spark, sf_dir):
     return A.proxy_bursts(B.table(spark, sf_dir, "events")).select(F.date_format("hour", TS).alias("hour"), "n")
@@ -141,9 +141,9 @@ cte(
     "judgement",
     """SELECT *, CASE WHEN triggered_count >= 4 THEN 'HIGH' WHEN triggered_count >= 2 THEN 'MODERATE' ELSE 'LOW' END
             AS coordination_confidence,
-        CASE WHEN triggered_count >= 4 THEN 'multiple independent signals point to coordination'
-             WHEN triggered_count >= 2 THEN 'some signals present; data gaps prevent stronger conclusion'
-             ELSE 'insufficient signals to assert coordination' END AS confidence_reason
+        CASE WHEN triggered_count >= 4 THEN 'four or more checks hold at once, which is hard to explain by chance'
+             WHEN triggered_count >= 2 THEN 'two or three checks hold, and others could not be made'
+             ELSE 'at most one check holds' END AS confidence_reason
     FROM (SELECT count(*) FILTER (WHERE triggered) AS triggered_count,
         count(*) FILTER (WHERE NOT contains(evidence, 'not available')) AS available_count, count(*) AS total_count
         FROM checklist)""",
@@ -225,24 +225,25 @@ def _filled(key: str, *parts: str) -> str:
 
 
 def _top_topic(share: str) -> str:
-    return f"""SELECT m.topic, share, coalesce(post_count, 0) AS posts, left(coalesce(NARRATIVE_STATEMENT,
-            '{_say("no_narrative")}'), 200) AS stmt, coalesce(ACTOR, '{_say("needs_human")}') AS actor
+    return f"""SELECT m.topic, share, coalesce(post_count, 0) AS posts, coalesce(NARRATIVE_STATEMENT,
+            '{_say("no_narrative")}') AS stmt, coalesce(ACTOR, '{_say("needs_human")}') AS actor
         FROM (SELECT topic, {share} AS share FROM sentiment_matrix) m LEFT JOIN stories s ON s.analyst_label = m.topic
         WHERE share > 0 ORDER BY share DESC, m.topic LIMIT 1"""
 
 
+LEVEL = "CASE coordination_confidence " + " ".join(f"WHEN '{k}' THEN '{_say(k)}'" for k in ("HIGH", "MODERATE", "LOW")) + " END"
 SHARE, POSTS = "printf('%.1f', share)", "format('{:,}', posts)"
 cte(
     "found",
     f"""SELECT 1 AS ord, {_filled("title_neg", "topic")} AS title, {_filled("bluf_neg", "topic", POSTS, SHARE)} AS bluf,
-        {_filled("evidence_neg", SHARE, "stmt")} AS evidence, 'MODERATE' AS confidence,
+        {_filled("evidence_topic", SHARE, "stmt")} AS evidence, 'MODERATE' AS confidence,
         '{_say("reason_neg")}' AS confidence_reason, '{_say("lim_neg_1")}|{_say("lim_neg_2")}' AS limitations,
         {_filled("rec_neg", "topic", "actor")} AS recommendation, topic AS related_topics
     FROM ({_top_topic('"NEGATIVE" + "NEGATIVE-DISTRESS"')})
-    UNION ALL SELECT 2, {_filled("title_pos", "topic")}, {_filled("bluf_pos", "topic", SHARE, POSTS)},
-        {_filled("evidence_pos", SHARE, "stmt")}, 'MODERATE', '{_say("reason_pos")}',
+    UNION ALL SELECT 2, {_filled("title_pos", "topic")}, {_filled("bluf_pos", "topic", POSTS, SHARE)},
+        {_filled("evidence_topic", SHARE, "stmt")}, 'MODERATE', '{_say("reason_pos")}',
         '{_say("lim_pos_1")}|{_say("lim_pos_2")}', {_filled("rec_pos", "topic")}, topic FROM ({_top_topic('"POSITIVE"')})
-    UNION ALL SELECT 3, {_filled("title_amp", "coordination_confidence")},
+    UNION ALL SELECT 3, {_filled("title_amp", LEVEL)},
         {_filled("bluf_amp", "triggered_count", "total_count", "(SELECT top5_share_pct FROM proxy1)",
                  "(SELECT duplicate_pct FROM proxy4)")},
         {_filled("evidence_amp", "(SELECT string_agg(name || CASE WHEN triggered THEN ' ✓' ELSE ' ✗' END, '; ' ORDER BY ord)"
@@ -268,19 +269,19 @@ def recommendations(spark, sf_dir):
     return brief.recommendations(analysis(spark, sf_dir).findings)
 
 
-LIMITATION_KEYS = ["no_author", "model_sentiment", "model_topic", "causal_proxies", "causal_topics"]
-
-
 @query(
     "limitations",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{_say(k)}')" for i, k in enumerate(LIMITATION_KEYS, 1))
-    + ") v(ord, line), (SELECT count(*) AS n_posts FROM posts)",
+    f"""WITH shares AS (SELECT {half_even("count(*) FILTER (WHERE text IS NULL OR length(text) < 400)::DOUBLE / count(*) * 100", 1)} AS p
+        FROM posts)
+    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ord, line FROM (
+        SELECT 1 AS k, {_filled("gap", "'engagement'", "p")} AS line FROM shares WHERE p > 0
+        UNION ALL SELECT 2, '{_say("no_author")}'
+        UNION ALL SELECT * FROM (VALUES {", ".join(f"({2 + i}, '{_say(f'standing_{i}')}')" for i in range(1, 5))}))""",
 )
 def limitations(spark, sf_dir):
+    """Posts without an author column, and without engagement where the text is short."""
     posts = B.posts(spark, sf_dir).drop("author")
-    n_posts = posts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return brief.limitations(posts, "en").withColumn("n_posts", n_posts)
+    return brief.limitations(posts.withColumn("engagement", F.when(F.length("text") >= 400, F.col("engagement"))), "en")
 
 
 def _brief_lines(spark, sf_dir):
@@ -334,12 +335,12 @@ def _queue(spark, sf_dir):
 cte(
     "asked",
     """SELECT 'schema-run' AS question_id, 'schema_infer' AS stage, 'confirm' AS question_type, true AS blocks_stage,
-        'schema confidence=MODERATE' AS why_asking
-    UNION ALL SELECT 'eda-skew-run', 'eda', 'open', false, 'top platform ' || lang || ' > 60% of data and no platform memory'
+        'roles are a guess from names and values' AS why_asking
+    UNION ALL SELECT 'eda-skew-run', 'eda', 'open', false, 'one platform, ' || lang || ', holds over 60% of the posts'
         FROM posts GROUP BY lang HAVING count(*) * 100.0 / (SELECT count(*) FROM posts) > 60
     UNION ALL SELECT 'sentiment-calibrate-run', 'sentiment', 'calibrate', false,
-        'T1/T2 disagreement ' || disagreement_pct || '% > 15.0% threshold' FROM sentiment_counts WHERE disagreement_pct > 15
-    UNION ALL SELECT 'topic-label-run', 'topic', 'label', true, count(*) || ' unlabeled clusters'
+        'labels differ on ' || disagreement_pct || '% of the posts, limit 15.0%' FROM sentiment_counts WHERE disagreement_pct > 15
+    UNION ALL SELECT 'topic-label-run', 'topic', 'label', true, count(*) || ' topics without a name'
         FROM drafts WHERE topic_id <> -1 HAVING count(*) > 0""",
     True,
 )
@@ -399,3 +400,12 @@ def threshold_alarms(spark, sf_dir):
         duplication_alarm_pct=A.proxy_duplication(staged).select("duplicate_pct").scalar(),
     )
     return review.threshold_alarms(values, Thresholds(outlier_rerun_pct=5.0))
+
+
+@query("analyse")
+def analyse(spark, sf_dir):
+    """The whole pipeline over all posts of the test tables, from cleaning to findings."""
+    posts = B.posts(spark, sf_dir).drop("lang")
+    return analyse_posts(posts, bot_labels=list(B.BOT_AUTHORS)).findings.withColumns(
+        {"limitations": F.array_join("limitations", "|"), "related_topics": F.array_join("related_topics", "|")}
+    )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from postlens.operators import eda, profile
 from postlens.plans import bind as B
 from postlens.plans.catalog import cte, query
+from postlens.seeds.words import NA_TOKENS
 from postlens.session import scratch_path
 from postlens.sources import readers, sinks
 
@@ -23,25 +23,15 @@ def src_csv(spark, sf_dir):
     path = scratch_path(spark, "csv") + ".csv"
     writer = _documents(spark, sf_dir).write.option("header", True).option("quote", '"').option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return readers.load_dataset(spark, path)
-
-
-def _as_array(batches):
-    """Turns the records of a partition, hence of a written file, into one JSON array."""
-    mark = "["
-    for batch in batches:
-        for at in batch.index:
-            batch.at[at, "value"] = mark + batch.at[at, "value"]
-            mark = ","
-        yield batch
-    yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+    return readers.load_dataset(spark, path, multiline=True)
 
 
 @query("src_json", DOCUMENT_TEXT_SQL)
 def src_json(spark, sf_dir):
     path = scratch_path(spark, "json") + ".json"
-    records = _documents(spark, sf_dir).select(F.to_json(F.struct("doc_id", "text", "lang", "source")).alias("value"))
-    records.mapInPandas(_as_array, "value string").write.text(path)
+    records = F.collect_list(F.struct("doc_id", "text", "lang", "source"))
+    arrays = _documents(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 500)).agg(F.to_json(records).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file for each array
     return readers.load_dataset(spark, path)
 
 
@@ -72,12 +62,16 @@ def src_all_string(spark, sf_dir):
 
 @query(
     "src_na_tokens",
-    """SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN NULL ELSE lang END AS lang,
-              CASE WHEN source IN ('src1') THEN NULL ELSE source END AS source FROM documents""",
+    f"""SELECT doc_id, lang, CASE WHEN source IN ({", ".join(f"'src{i}'" for i in range(len(NA_TOKENS)))}) THEN NULL
+        ELSE source END AS source FROM documents""",
 )
 def src_na_tokens(spark, sf_dir):
-    documents = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return readers.na_tokens_to_null(documents, ("de", "es", "src1"))
+    """The first sources carry one of the shipped tokens each."""
+    marked = F.col("source")
+    for i, token in enumerate(NA_TOKENS):
+        marked = F.when(F.col("source") == f"src{i}", token).otherwise(marked)
+    documents = B.table(spark, sf_dir, "documents").select("doc_id", "lang", marked.alias("source"))
+    return readers.na_tokens_to_null(documents)
 
 
 @query("file_digest")

@@ -121,8 +121,8 @@ def language_profiles(spark, sf_dir):
 )
 def detect_latin(spark, sf_dir):
     labelled = B.posts(spark, sf_dir)
-    detector = prepare.fit_language_detector(labelled)
-    return prepare.assign_language(labelled, "auto", "text", detector).select("id", "lang")
+    profiles = prepare.language_profiles(labelled).select("lang", "trigram")
+    return prepare.detect_language(labelled.drop("lang"), profiles).select("id", "lang")
 
 
 @query(

@@ -81,14 +81,23 @@ def walsh(spark, sf_dir):
 
 
 def _slot(j: int) -> str:
-    return (
-        f"least(CAST(floor((c{j} - min(c{j}) OVER ()) / ((max(c{j}) OVER () - min(c{j}) OVER ()) / {BINS})) AS BIGINT), "
-        f"{BINS - 1})"
-    )
+    return f"greatest(least(CAST(floor((c{j} - low{j}) / ((high{j} - low{j}) / {BINS})) AS BIGINT), {BINS - 1}), 0)"
+
+
+def _edge(j: int, share: float) -> str:
+    """The value at rank ceil(share * n), which the sketch gives for tables of this size."""
+    return f"list_sort(list(c{j}))[CAST(ceil({share} * count(*)) AS BIGINT)]"
 
 
 cte("axes", "SELECT vec_id, " + ", ".join(f"{_axis(j)} AS c{j}" for j in range(DIMS)) + " FROM embeddings", True)
-cte("slots", "SELECT vec_id, " + ", ".join(f"{_slot(j)} AS s{j}" for j in range(DIMS)) + " FROM axes", True)
+cte(
+    "edges",
+    "SELECT "
+    + ", ".join(f"{_edge(j, topics.BOX[0])} AS low{j}, {_edge(j, topics.BOX[1])} AS high{j}" for j in range(DIMS))
+    + " FROM axes",
+    True,
+)
+cte("slots", "SELECT vec_id, " + ", ".join(f"{_slot(j)} AS s{j}" for j in range(DIMS)) + " FROM axes, edges", True)
 cte(
     "dense_cells",
     f"""SELECT s0, s1, s2, s0 + {BINS} * s1 + {BINS * BINS} * s2 AS cell, count(*) AS n FROM slots
@@ -145,7 +154,7 @@ cte(
 cte(
     "topic_vocab",
     """SELECT term, count(DISTINCT topic_id) AS df, count(*) AS tf FROM term_rows GROUP BY term
-    HAVING count(DISTINCT topic_id) >= 2 ORDER BY count(*) DESC, term LIMIT 5000""",
+    HAVING count(DISTINCT topic_id) >= 2""",
     True,
 )
 cte("kept_terms", "SELECT topic_id, term, count(*) AS tf FROM term_rows SEMI JOIN topic_vocab USING (term) GROUP BY ALL", True)
@@ -174,7 +183,7 @@ def vocab(spark, sf_dir):
 @query(
     "vocab_by_post",
     """SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM term_rows GROUP BY term
-    HAVING count(DISTINCT id) >= 2 ORDER BY count(*) DESC, term LIMIT 5000""",
+    HAVING count(DISTINCT id) >= 2""",
 )
 def vocab_by_post(spark, sf_dir):
     return topics.vocab(B.topic_posts(spark, sf_dir), "post")
@@ -201,7 +210,7 @@ cte(
 cte(
     "source_vocab",
     """SELECT term, count(*) AS uses FROM source_terms GROUP BY term HAVING count(DISTINCT topic_id) >= 2
-    ORDER BY count(*) DESC, term LIMIT 5000""",
+   """,
     True,
 )
 cte("source_kept", "SELECT topic_id, term, count(*) AS tf FROM source_terms SEMI JOIN source_vocab USING (term) GROUP BY ALL", True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.operators import amplification, brief, clean, narrative, prepare, sentiment, topics
 from postlens.schema import Thresholds
+from postlens.seeds.words import SARCASM_SEEDS
 from postlens.session import stored
 
 
@@ -22,6 +23,7 @@ class Analysis:
     signals: DataFrame
     verdict: DataFrame
     findings: DataFrame
+    gate: DataFrame | None = None
 
 
 def analyse_topics(
@@ -59,12 +61,27 @@ def analyse_topics(
 
 
 def label_stage(
-    posts: DataFrame, language: str = "auto", lexicons=None, bot_labels=None
+    posts: DataFrame,
+    language: str = "auto",
+    lexicons=None,
+    bot_labels=None,
+    detector=prepare.latin_default,
+    domain_patterns=SARCASM_SEEDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Clean, prepare and label: (labelled organic posts, clean summary)."""
+    """Clean, prepare and label: (labelled organic posts, clean summary).
+
+    With language 'auto', ``detector`` maps the text column of posts in Latin
+    script to their language.
+    """
+    require_text(posts)
     streamed = clean.clean_posts(posts, bot_labels) if bot_labels else clean.clean_posts(posts)
-    prepared = prepare.prepare_posts(clean.organic_stream(streamed), language)
-    return sentiment.label_posts(prepared, lexicons), clean.clean_summary(posts, streamed)
+    prepared = prepare.prepare_posts(clean.organic_stream(streamed), language, detector=detector)
+    return sentiment.label_posts(prepared, lexicons, domain_patterns), clean.clean_summary(posts, streamed)
+
+
+def require_text(posts: DataFrame) -> None:
+    if "text" not in posts.columns:
+        raise ValueError("posts have no text column")
 
 
 def analyse_posts(
@@ -73,12 +90,17 @@ def analyse_posts(
     thresholds: Thresholds = Thresholds(),
     lexicons=None,
     bot_labels=None,
+    min_rows: int = topics.MIN_ROWS,
     **topic_options,
-) -> Analysis | None:
-    """Canonical posts to findings; None when too few posts are left for topics."""
+) -> Analysis:
+    """Canonical posts to findings. With fewer than ``min_rows`` usable posts none is given a topic; ``gate`` says so."""
     labelled, summary = label_stage(posts, language, lexicons, bot_labels)
     corpus = stored(topics.topic_corpus(labelled), "labelled")
-    if topics.topic_gate(corpus).where(F.col("skipped")).count():
-        return None
-    found = stored(topics.fit_topics(corpus, min_topic_size=thresholds.min_topic_size, **topic_options), "topics")
-    return analyse_topics(found, stored(summary, "clean-summary"), language, thresholds)
+    gate = stored(topics.topic_gate(corpus, min_rows), "topic-gate")
+    if gate.where("skipped").isEmpty():
+        found = topics.fit_topics(corpus, min_topic_size=thresholds.min_topic_size, **topic_options)
+    else:
+        found = corpus.withColumn("topic_id", F.lit(topics.OUTLIER))
+    found = stored(found, "topics")
+    report = "en" if language == "auto" else language
+    return replace(analyse_topics(found, stored(summary, "clean-summary"), report, thresholds), gate=gate)

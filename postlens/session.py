@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"{folder} has to be a mount that every executor shares", stacklevel=2)
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
         return folder
@@ -45,9 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_MADE: list[str] = []
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Deletes what ``scratch_path`` named in this driver so far; call it once no result that reads it is needed."""
+    hadoop, count = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    while _MADE:
+        path = hadoop(_MADE.pop())
+        count += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing existing is ever overwritten."""
-    return f"{shared_folder(spark).rstrip('/')}/postlens-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark).rstrip('/')}/postlens-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -57,11 +57,11 @@ def find_encoding(spark: SparkSession, path: str) -> str:
     raise ValueError(f"could not decode {path} with UTF-8, cp950 or big5")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False) -> DataFrame:
     """CSV with a header; RFC 4180 quotes. Missing-value tokens become null.
 
-    Quoted line breaks need ``multiline``, which reads each file in one task;
-    switch it off for large files without them, so that files are split.
+    Files are split over tasks. Quoted line breaks need ``multiline``, which
+    reads each file in one task.
     """
     raw = (
         spark.read.option("header", True)
@@ -92,12 +92,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 READERS = {".csv": read_csv, ".json": read_json, ".jsonl": read_jsonl, ".parquet": read_parquet}
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The reader for the path's suffix; an unknown suffix is an error."""
+def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The reader for the path's suffix, with its options; an unknown suffix is an error."""
     lowered = path.lower().rstrip("/")
     for suffix, reader in READERS.items():
         if lowered.endswith(suffix):
-            return reader(spark, path)
+            return reader(spark, path, **options)
     raise ValueError(f"unsupported file type: {path}")
 
 
