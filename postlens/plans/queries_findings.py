@@ -269,12 +269,17 @@ def recommendations(spark, sf_dir):
     return brief.recommendations(analysis(spark, sf_dir).findings)
 
 
+cte(
+    "gap_shares",
+    f"""SELECT {half_even("count(*) FILTER (WHERE text IS NULL OR length(text) < 400)::DOUBLE / count(*) * 100", 1)} AS p
+    FROM posts""",
+)
+
+
 @query(
     "limitations",
-    f"""WITH shares AS (SELECT {half_even("count(*) FILTER (WHERE text IS NULL OR length(text) < 400)::DOUBLE / count(*) * 100", 1)} AS p
-        FROM posts)
-    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ord, line FROM (
-        SELECT 1 AS k, {_filled("gap", "'engagement'", "p")} AS line FROM shares WHERE p > 0
+    f"""SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ord, line FROM (
+        SELECT 1 AS k, {_filled("gap", "'engagement'", "p")} AS line FROM gap_shares WHERE p > 0
         UNION ALL SELECT 2, '{_say("no_author")}'
         UNION ALL SELECT * FROM (VALUES {", ".join(f"({2 + i}, '{_say(f'standing_{i}')}')" for i in range(1, 5))}))""",
 )

@@ -339,10 +339,9 @@ cte(
 )
 cte(
     "stories",
-    """SELECT topic_id, analyst_label, post_count, '(awaiting human judgment)' AS ACTOR,
-        'Discussion in topic ''' || analyst_label || ''' clusters around keywords ''' ||
-        split_part(split_part(analyst_label, '：', 2), '（', 1) ||
-        '''. Six-element narrative framing requires analyst judgment from sample posts.' AS NARRATIVE_STATEMENT,
+    """SELECT topic_id, analyst_label, post_count, 'left to the analyst' AS ACTOR,
+        'Posts on ''' || analyst_label || ''' often mention ''' || split_part(split_part(analyst_label, '：', 2), '（', 1) ||
+        '''; an analyst has to read samples to say who wants what.' AS NARRATIVE_STATEMENT,
         'template' AS source FROM evidence_rows""",
     True,
 )
