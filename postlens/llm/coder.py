@@ -22,10 +22,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 1024
+BLOCK = 1024
+LANES = 2048
 MAGIC = b"CMR1"
-TABLE_BITS = 11
+TABLE_BITS = 10
 WEIGHT_BITS = 10
 FREQUENCY_BITS = 18
 LEVELS = 8
@@ -75,13 +75,17 @@ class Model:
         self.row = np.arange(lanes, dtype=np.int64) << TABLE_BITS
         self.rate_row = np.arange(lanes, dtype=np.int64) * LEVELS
 
-    def predict(self, before: np.ndarray, last: np.ndarray):
-        """Fixes the step's table places and weights from the two ids before it."""
-        n = len(last)
-        mask = np.int64((1 << TABLE_BITS) - 1)
+    def places(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the tables for the two ids before; the last axis is that of the blocks."""
+        row, mask = self.row[: last.shape[-1]], np.int64((1 << TABLE_BITS) - 1)
         mixed = last * np.int64(0x9E3779B1)
-        self.at_one = ((mixed >> np.int64(13)) & mask) + self.row[:n]
-        self.at_two = (((mixed + before * np.int64(0x85EBCA77)) >> np.int64(15)) & mask) + self.row[:n]
+        one = ((mixed >> np.int64(13)) & mask) + row
+        return one, (((mixed + before * np.int64(0x85EBCA77)) >> np.int64(15)) & mask) + row
+
+    def predict(self, at_one: np.ndarray, at_two: np.ndarray):
+        """Fixes the step's predictions and weights."""
+        n = len(at_one)
+        self.at_one, self.at_two = at_one, at_two
         self.entry_two, self.entry_one = self.two[self.at_two], self.one[self.at_one]
         self.level_two, self.level_one = self.entry_two & 7, self.entry_one & 7
         self.id_two, self.id_one = self.entry_two >> 3, self.entry_one >> 3
@@ -125,11 +129,14 @@ def encode(ids: np.ndarray) -> bytes:
     model = Model(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
     words, at = np.zeros((lanes, 2 * BLOCK + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    before, last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    history = np.zeros((BLOCK + 2, lanes), dtype=np.int64)
+    history[2:] = columns
+    places = [model.places(history[i : i + 128], history[i + 1 : i + 129]) for i in range(0, BLOCK, 128)]
     for t in range(steps):
         n = lanes if t < tail else lanes - 1
         now = columns[t, :n]
-        model.predict(before[:n], last[:n])
+        one, two = places[t // 128]
+        model.predict(one[t % 128, :n], two[t % 128, :n])
         first = model.rest * prior.first[now]
         first += model.weight_two * (now > model.id_two)
         first += model.weight_one * (now > model.id_one)
@@ -154,7 +161,6 @@ def encode(ids: np.ndarray) -> bytes:
             a[move] = (moving << _U(16)) & _MASK
             b[move] <<= _U(16)
         model.learn(now)
-        before[:n], last[:n] = last[:n], now
     for shift in (32, 16, 0):
         words[np.arange(lanes), at] = (low >> _U(shift)) & _U(0xFFFF)
         at += 1
@@ -199,7 +205,7 @@ def _decode(data: bytes, prior: Prior, sizes: np.ndarray, lengths: np.ndarray, b
     most, top = (1 << _TOTAL) - 1, len(prior.first) - 1
     for t in range(steps):
         n = lanes if t < sizes[-1] else int(np.count_nonzero(sizes > t))
-        model.predict(before[:n], last[:n])
+        model.predict(*model.places(before[:n], last[:n]))
         a, b, c = low[:n], span[:n], code[:n]
         b >>= _U(_TOTAL)
         value = np.minimum(((c - a) // b).view(np.int64), most)

@@ -18,7 +18,7 @@ import unicodedata
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CACHED_LENGTH = 64
 # White space or marks on which the library and Python's patterns may differ, and the start of special tokens.
 _UNSURE = re.compile("[\x00\x1c-\x1f\x85]|<\\|")
