@@ -94,13 +94,12 @@ def lexicon_score(tokens: Column, lexicon: Lexicon) -> Column:
         flipped = F.exists(window, lambda before: before.isin(negators))
         return F.when(weight == 0, F.lit(0)).when(flipped, -weight).otherwise(weight)
 
-    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("hits"))
-    return F.aggregate(
-        F.transform(tokens, signed),
-        start,
-        lambda acc, w: F.struct(
-            (acc["score"] + w).alias("score"),
-            (acc["hits"] + F.when(w != 0, 1).otherwise(0)).alias("hits"),
+    # Few tokens carry weight, so the sum runs over those only.
+    polar = F.filter(F.transform(tokens, signed), lambda w: w != 0)
+    return let(
+        polar,
+        lambda ws: F.struct(
+            F.aggregate(ws, F.lit(0), lambda total, w: total + w).alias("score"), F.size(ws).alias("hits")
         ),
     )
 
