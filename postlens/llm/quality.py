@@ -4,7 +4,9 @@ The classifier is a logistic regression over hashed word uni- and bigrams and
 hashed character trigrams, each kind as shares of the text's own count. It is
 fitted on a sample of at most ``MAX_TRAIN`` labelled rows per class, taken by
 a hash of the id, and its margin is turned into a probability by a logistic
-curve fitted on rows that the fit did not see. Scoring runs in Arrow batches.
+curve fitted on rows that the fit did not see, weighted so that both classes
+have their shares of all labelled rows, whatever the bound left out. Scoring
+runs in Arrow batches.
 
 Defined results: a null text counts as empty; a text without words has all
 counts zero and fails the base rules; ties, repeated rows and extra columns
@@ -119,8 +121,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Logistic regression by AdaGrad over full passes, then the calibration curve on ``held``."""
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray, int]],
+    held: list[tuple[np.ndarray, np.ndarray, int]],
+    stands_for: tuple[float, float] = (1.0, 1.0),
+) -> Model:
+    """Logistic regression by AdaGrad over full passes, then the calibration curve on ``held``.
+
+    A row of class y stands for ``stands_for[y]`` labelled rows in the curve; the fit itself weighs both classes alike.
+    """
     size = np.array([len(r[0]) for r in rows])
     row = np.repeat(np.arange(len(rows)), size)
     slots, shares = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
@@ -138,20 +147,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndar
     slope, shift = 1.0, 0.0
     if len({r[2] for r in held}) == 2:
         margin = np.array([bias + weights[r[0]] @ r[1] for r in held])
-        slope, shift = calibrate(margin, np.array([r[2] for r in held], dtype=np.float64))
+        found = np.array([r[2] for r in held])
+        slope, shift = calibrate(margin, found.astype(np.float64), np.array(stands_for)[found])
     return Model(weights.astype(np.float32), float(bias), slope, shift)
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and shift of the logistic curve of y over the margin, targets smoothed by the class counts."""
+    weight = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
     positive, negative = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
     scale = max(float(np.abs(margin).max()), 1e-9)
     x, theta = np.stack([margin / scale, np.ones_like(margin)], axis=1), np.zeros(2)
     for _ in range(60):
         p = _sigmoid(x @ theta)
-        gradient = x.T @ (p - target)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        gradient = x.T @ (weight * (p - target))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         step = np.linalg.solve(curve, gradient)
         theta -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
@@ -159,9 +170,20 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.0) / scale, float(theta[1])
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """Every labelled id once: (doc_id, y)."""
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def stands_for(rows: DataFrame, most: tuple[int, int]) -> tuple[float, float]:
+    """How many of the labelled rows (doc_id, y) one of a sample of at most ``most[y]`` stands for, by class."""
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    return tuple(max(size.get(y, 0) / most[y], 1.0) for y in (0, 1))
+
+
 def sample_of(labels: DataFrame, label: str, most: int) -> DataFrame:
     """At most ``most`` labelled ids of each class, by a hash of the id: (doc_id, y)."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    rows = labelled(labels, label)
     classes = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     return classes[0].unionByName(classes[1])
 
@@ -197,7 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model |
     for i, r in enumerate(rows):
         split[i % 4 == 3].append((np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["y"]))
     fitted, held = split
-    return fit(fitted, held) if len({r[2] for r in fitted}) == 2 else None
+    if len({r[2] for r in fitted}) < 2:
+        return None
+    return fit(fitted, held, stands_for(labelled(labels, "quality"), (most, most)))
 
 
 def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:

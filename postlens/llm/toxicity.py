@@ -10,6 +10,8 @@ score by a logistic curve.
 The lexicon is learned from labelled rows: at most ``MAX_TOXIC`` toxic and
 ``MAX_CLEAN`` other ones, taken by a hash of the id and never from the
 held-out fold. A term enters when its share of toxic rows is far above chance.
+The curve weighs both classes by their shares of all labelled rows outside the
+fold, whatever the bounds left out.
 
 Defined results: null and empty texts have no hit and the lowest score;
 repeated rows score alike; without labelled rows the lexicon is empty and the
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from postlens.llm.quality import labelled, stands_for
 from postlens.llm.tables import map_rows, stored
 from postlens.llm.words import mix64, shingle_set
 
@@ -138,8 +141,7 @@ def held_out(doc_id="doc_id"):
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the bounded sample outside the held-out fold."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labelled(labels.where(~held_out()), "toxic").withColumnRenamed("y", "toxic")
     picked = None
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -245,14 +247,15 @@ def _measured(shared):
     return make
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float, float]:
     """Logistic regression of y over the two signals, lightly damped."""
+    weight = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
     design, theta = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     damp = np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ theta, -30, 30)))
         step = np.linalg.solve(
-            (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + damp, design.T @ (p - y) + damp @ theta
+            (design * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ design + damp, design.T @ (weight * (p - y)) + damp @ theta
         )
         theta -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
@@ -271,7 +274,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = map_rows(sample.select("text", "toxic"), _measured(shared), "toxic int, density double, some double").collect()
     x = np.array([(r["density"], r["some"]) for r in rows])
-    return Model(lexicon, fit_curve(x, np.array([float(r["toxic"]) for r in rows])))
+    y = np.array([r["toxic"] for r in rows])
+    weight = np.array(stands_for(labelled(labels.where(~held_out()), "toxic"), (MAX_CLEAN, MAX_TOXIC)))[y]
+    return Model(lexicon, fit_curve(x, y.astype(float), weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

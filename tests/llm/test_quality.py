@@ -102,3 +102,32 @@ def test_without_labels_the_base_rules_decide(spark, labelled):
     nulls = labels.selectExpr("CAST(NULL AS BIGINT) doc_id", "CAST(NULL AS INT) quality", "toxic")
     assert quality.train(docs, nulls) is None
     assert quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_verdicts_do_not_shift_with_the_cap(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(1400):
+        good = i % 7 > 0
+        kind = good if rng.random() < 0.85 else not good
+        words = [rng.choice("abcdefgh" if kind == (rng.random() < 0.8) else "nopqrstu") * 3 for _ in range(40)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").cache()
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    free, capped = quality.train(docs, frame), quality.train(docs, frame, 200)
+    marks = [quality.features(text, words_of(text).hashes) for _, text in rows]
+    p, q = (np.array([m.probability(*f) for f in marks]) for m in (free, capped))
+    good = np.array([y for _, y, _ in labels])
+    assert abs(p.mean() - good.mean()) < 0.05 and abs(q.mean() - good.mean()) < 0.05
+    assert np.mean((p >= quality.KEEP_AT) != (q >= quality.KEEP_AT)) < 0.05
+
+
+def test_weighted_calibration_gives_the_shares_back():
+    rng = np.random.default_rng(0)
+    y = (rng.random(70_000) < 6 / 7).astype(float)
+    margin = rng.normal(size=len(y)) + y
+    part = np.sort(np.concatenate([np.flatnonzero(y == 1)[:9000], np.flatnonzero(y == 0)[:9000]]))
+    weight = np.where(y[part] == 1, (y == 1).sum() / 9000, (y == 0).sum() / 9000)
+    whole, sampled = quality.calibrate(margin, y), quality.calibrate(margin[part], y[part], weight)
+    assert abs(whole[0] - sampled[0]) < 0.1 and abs(whole[1] - sampled[1]) < 0.1

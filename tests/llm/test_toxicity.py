@@ -73,3 +73,23 @@ def test_nulls_and_empty_tables(spark, tables):
     rows = tox.score(odd, model).withColumn("held_out", tox.held_out()).collect()
     assert len(rows) == 3 and all(r["predicted"] == 0 and r["score"] < 1e-9 and r["held_out"] is not None for r in rows)
     assert tox.score(docs.limit(0), model).count() == 0
+
+
+def test_scores_do_not_shift_with_the_bounds(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(2400):
+        toxic = i % 12 == 0
+        text = [rng.choice(words) for _ in range(40)]
+        if rng.random() < (0.8 if toxic else 0.06):
+            text[7] = "zorgle"
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").cache()
+    given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    free = tox.train(frame, given)
+    monkeypatch.setattr(tox, "MAX_CLEAN", 150)
+    capped = tox.train(frame, given)
+    for weights in ([], [sorted(free.lexicon.words.values())[-1]]):
+        assert abs(free.score(weights, 40) - capped.score(weights, 40)) < 0.15
