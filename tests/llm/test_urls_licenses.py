@@ -1,3 +1,4 @@
+import pathlib
 import re
 
 import pytest
@@ -67,3 +68,29 @@ def test_licences_survive_rewording_of_form(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "Released under the MIT License."), (1, "a"), (1, "a")], "doc_id bigint, text string")
     assert sorted(str(r["notices"]) for r in licenses.scan(odd).collect()) == ["MIT notice", "None", "None"]
+
+
+def test_licences_with_and_without_titles_and_named_copyright_lines(spark):
+    known = dict(licenses.KNOWN)
+    body = {name: known[name].removeprefix(f"{name} License\n\n") for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "Zlib")}
+    two, third = body["BSD-2-Clause"], "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    three = two.replace("THIS SOFTWARE IS", third + " products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)
+    holder = "Copyright Foo Inc. 2020\n\n"
+    cases = [(name, text) for name, text in body.items()]
+    cases += [(name, holder + text) for name, text in body.items()]
+    cases += [("MIT", "The MIT License (MIT)\n\n" + holder + body["MIT"]), ("Zlib", "zlib License\n\n" + body["Zlib"])]
+    cases += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2019, Foo\nAll rights reserved.\n\n" + two)]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + three.replace("1. ", "").replace("2. ", "")), (None, holder + body["MIT"] + " not")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_long_texts_are_known_where_the_machine_has_them(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [(want, (folder / name).read_text()) for name, want in names.items() if (folder / name).exists()]
+    if not found:
+        pytest.skip("no licence texts here")
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(found)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()} == {i: want for i, (want, _) in enumerate(found)}
