@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.llm import (
+    decontaminate,
     fingerprint,
     html,
     licenses,
@@ -126,3 +127,32 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+LEAK_ORACLE = """
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+items AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
+cuts AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM cuts),
+places AS (
+  SELECT row, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM words, (SELECT DISTINCT n FROM windows)),
+hits AS (
+  SELECT p.row, p.i, p.n, x.item FROM (SELECT row, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM places) p
+  JOIN windows x ON x.n = p.n AND x.gram = p.gram),
+covered AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS place FROM hits) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+
+@query("op11_benchmark_decontamination", LEAK_ORACLE)
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside benchmark windows, and the items they come from."""
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found).drop("spans")
