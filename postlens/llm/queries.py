@@ -19,6 +19,7 @@ from postlens.llm import (
     tokens,
     toxicity,
     urls,
+    whitening,
 )
 from postlens.llm.tables import read
 
@@ -156,3 +157,9 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     """Words of every document that lie inside benchmark windows, and the items they come from."""
     found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.report(found).drop("spans")
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable embedding on up to 16 components."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
