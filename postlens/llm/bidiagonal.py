@@ -166,7 +166,8 @@ def block_vectors(q: np.ndarray, e: np.ndarray, values: np.ndarray) -> np.ndarra
         near = [v for j, v in enumerate(vectors) if values[j] - value <= CLOSE * values[j]]
         alone = not near and (i + 1 == len(values) or value - values[i + 1] > CLOSE * value)
         z = twisted_vector(q, e, value) if alone else rng.standard_normal(len(q))
-        for _ in range(ROUNDS):
+        best, off = z, np.inf
+        for turn in range(ROUNDS):
             z /= np.linalg.norm(z)
             for _ in range(3 if near else 0):
                 for other in near:
@@ -175,10 +176,12 @@ def block_vectors(q: np.ndarray, e: np.ndarray, values: np.ndarray) -> np.ndarra
             rest = (main - value) * z
             rest[:-1] += beside * z[1:]
             rest[1:] += beside * z[:-1]
-            if np.linalg.norm(rest) <= 2 * len(q) * EPS * main.max():
+            if np.linalg.norm(rest) < off:
+                best, off = z.copy(), np.linalg.norm(rest)
+            if off <= 2 * len(q) * EPS * main.max():
                 break
-            z = solved(q, e, value, z)
-        vectors.append(z / np.linalg.norm(z))
+            z = solved(q, e, value, z) if turn % 4 < 3 else rng.standard_normal(len(q))
+        vectors.append(best)
     return np.array(vectors).reshape(-1, len(q)).T
 
 
