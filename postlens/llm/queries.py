@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.llm import (
+    alignment,
     decontaminate,
     fingerprint,
     html,
@@ -163,3 +164,10 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every usable embedding on up to 16 components."""
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids in every document, with the corpus-wide counts of the linked pairs."""
+    paths = tokens.vocabulary_path(alignment.A_FILE), tokens.vocabulary_path(alignment.B_FILE)
+    return alignment.align(read(spark, sf_dir, "documents"), *paths)
