@@ -24,21 +24,28 @@ def assign_language(posts: DataFrame, declared: str = "auto", text_col: str = "t
     return posts.withColumn("lang", T.script_language(F.col(text_col), "auto", detector))
 
 
-def trigram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, trigram, n over lower-cased text."""
+def trigram_counts(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", weight: Column | None = None
+) -> DataFrame:
+    """lang, trigram, n over lower-cased text; ``weight`` (1) is how often a row counts."""
+    once = F.lit(1) if weight is None else weight
     return (
         labelled.where(F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.explode(T.char_trigrams(F.lower(text_col))).alias("trigram"))
+        .select(F.col(lang_col).alias("lang"), once.alias("w"), F.explode(T.char_trigrams(F.lower(text_col))).alias("trigram"))
         .groupBy("lang", "trigram")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("w").cast("bigint").alias("n"))
     )
 
 
 def language_profiles(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE
+    labelled: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    size: int = PROFILE_SIZE,
+    weight: Column | None = None,
 ) -> DataFrame:
     """The ``size`` most frequent trigrams of each language: lang, trigram, n, rank."""
-    counts = trigram_counts(labelled, text_col, lang_col)
+    counts = trigram_counts(labelled, text_col, lang_col, weight)
     return top_k_per_group(counts, ["lang"], [F.desc("n"), F.asc("trigram")], size, "trigram")
 
 

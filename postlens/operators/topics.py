@@ -1,11 +1,10 @@
 """Topics: corpus, vectors, reduction, density clusters, keywords, labels.
 
-Clusters come from a density grid in the style of CLIQUE (Agrawal et al.,
+``fit_topics`` clusters by true neighbours (see ``neighbours``).
+``density_topics`` is a cheaper grid in the style of CLIQUE (Agrawal et al.,
 SIGMOD 1998): posts are counted per cell of a grid over the middle 98 % of each
 axis (posts beyond lie in the border cells), dense cells that share a face grow
-together, everything else is an outlier. Posts are touched
-once to find their cell, so neither copies of one text nor a crowded region
-ever form pairs of posts.
+together, everything else is an outlier.
 """
 
 from __future__ import annotations
@@ -14,13 +13,16 @@ from functools import reduce
 from typing import Callable
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.functions.components import connected_components
 from postlens.functions.numbers import percent
 from postlens.functions.ranking import top_k_per_group
+from postlens.functions.spanning import spanning_tree, strongest
+from postlens.operators import vectors
+from postlens.operators.neighbours import neighbour_topics, typical_distance
 from postlens.schema import Thresholds
 from postlens.session import stored
 
@@ -60,21 +62,16 @@ def topic_gate(corpus: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
 # --- vectors ------------------------------------------------------------------
 
 
-def embed_posts(corpus: DataFrame, tokens: str = "tokens", width: int = 256, model: Callable | None = None) -> DataFrame:
-    """Adds ``vector``: unit-length TF-IDF over hashed tokens.
-
-    ``model`` replaces it: a function from a text column to an array column,
-    for instance an iterator pandas_udf that loads its encoder once per task.
-    """
-    if model is not None:
-        return corpus.withColumn("vector", array_to_vector(model(F.col("text_norm"))))
-    counted = HashingTF(inputCol=tokens, outputCol="tf", numFeatures=width).transform(corpus)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    return Normalizer(inputCol="tfidf", outputCol="vector").transform(weighted).drop("tf", "tfidf")
+def embed_posts(corpus: DataFrame, model: Callable) -> DataFrame:
+    """Adds ``vector`` by a model: a function from a text column to an array column, such as ``vectors.encoder`` makes."""
+    return corpus.withColumn("vector", array_to_vector(model(F.col("text_norm"))))
 
 
 def reduce_dims(embedded: DataFrame, dims: int = 4, vector: str = "vector") -> DataFrame:
-    """Adds ``coords``, the first principal components; the driver holds one width x width matrix."""
+    """Adds ``coords``, the first principal components of a model's vectors; the driver holds one width x width matrix.
+
+    Sparse vectors of a whole vocabulary go to ``vectors.reduce_sparse``.
+    """
     model = PCA(k=dims, inputCol=vector, outputCol="pca").fit(embedded)
     return model.transform(embedded).withColumn("coords", vector_to_array("pca")).drop("pca")
 
@@ -309,6 +306,19 @@ def merge_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
 
 
+def merge_to_count(scored: DataFrame, topics: int, floor: float = 0.01) -> DataFrame:
+    """topic_id, merged_id: the most alike topics merged until ``topics`` are left, as single linkage does.
+
+    Outliers stay apart and aren't counted. Topics whose cosine is below
+    ``floor`` are never joined, so more than ``topics`` can be left.
+    """
+    scored = stored(scored.where(F.col("topic_id") != OUTLIER), "topic-terms")
+    ids = stored(scored.select(F.col("topic_id").alias("id")).distinct(), "topic-ids")
+    links = similar_topics(scored, floor).select(F.col("topic_a").alias("src"), F.col("topic_b").alias("dst"), "cosine")
+    kept = strongest(spanning_tree(ids, stored(links, "topic-links")), ids.count() - topics)
+    return connected_components(ids, kept).select(F.col("id").alias("topic_id"), F.col("component").alias("merged_id"))
+
+
 # --- labels and summaries -----------------------------------------------------
 
 
@@ -378,21 +388,37 @@ def topic_samples(topics: DataFrame, n: int = 8, text_chars: int = 120) -> DataF
 def fit_topics(
     corpus: DataFrame,
     dims: int = 4,
-    bins: int = 8,
+    radius: float = 0.2,
     min_points: int = 5,
     min_topic_size: int = Thresholds.min_topic_size,
-    width: int = 256,
     model: Callable | None = None,
     merge_at: float | None = 0.7,
+    topics: int | None = None,
+    id_col: str = "id",
 ) -> DataFrame:
     """Vectors, reduction, clusters, and topics of alike words merged: adds topic_id to the corpus.
 
-    ``merge_at`` is the least cosine of two topics' term scores; None keeps all apart.
+    Vectors are sparse over the whole vocabulary, or a model's. Clusters are
+    those of true neighbours within ``radius`` times the typical distance of a
+    post from the mean. ``merge_at`` is the least cosine of two topics' term
+    scores (None keeps all apart); ``topics`` merges the most alike until so
+    many are left instead. Posts without terms are outliers.
     """
-    located = stored(reduce_dims(embed_posts(corpus, width=width, model=model), dims).drop("vector"), "coords")
-    found = density_topics(located, dims, bins, min_points, min_topic_size).drop("coords")
-    if merge_at is None:
+    if model is None:
+        posts = stored(corpus, "corpus")
+        sparse = stored(vectors.sparse_vectors(posts, id_col=id_col), "vectors")
+        coords = vectors.reduce_sparse(sparse, dims, posts.count()).withColumnRenamed("id", "vector_id")
+        located = posts.join(coords, posts[id_col] == coords["vector_id"], "left").drop("vector_id")
+    else:
+        located = reduce_dims(embed_posts(corpus, model), dims).drop("vector")
+    located = stored(located, "coords")
+    scale = typical_distance(located, dims)
+    if not scale:
+        return located.withColumn("topic_id", F.lit(OUTLIER)).drop("coords")
+    found = neighbour_topics(located, dims, radius * scale, min_points, min_topic_size).drop("coords")
+    if merge_at is None and topics is None:
         return found
     found = stored(found, "raw-topics")
-    merged = merge_topics(ctfidf(found.where(F.col("topic_id") != OUTLIER)), merge_at)
+    scored = ctfidf(found.where(F.col("topic_id") != OUTLIER))
+    merged = merge_topics(scored, merge_at) if topics is None else merge_to_count(scored, topics)
     return found.join(merged, "topic_id", "left").withColumn("topic_id", F.coalesce("merged_id", "topic_id").cast("int")).drop("merged_id")

@@ -21,25 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a post: id, text, ts, author, engagement, platform, lang.
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once, dealt out by its id: a small file is one split, and the work on texts needs all cores."""
+    return table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def with_events(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
+    """Every event as a post: id, ts, author, engagement, platform and what the documents (with doc_id, source) carry.
 
     There are more events than documents; event e has the text of document
-    e modulo the number of documents.
+    e modulo the number of documents. What is derived from a text alone is
+    added to ``documents`` before, so that it is made once a text.
     """
-    documents, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    n = documents.count()
+    events, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").count()
     return events.join(documents, F.pmod(events["event_id"], F.lit(n)) == documents["doc_id"]).select(
         F.col("event_id").cast("string").alias("id"),
-        "text",
         "ts",
         F.col("event_type").alias("author"),
         F.col("value").alias("engagement"),
         F.col("source").alias("platform"),
-        "lang",
+        *[documents[c] for c in documents.columns if c not in ("doc_id", "source", "n_chars")],
     )
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a post: id, ts, author, engagement, platform, text, lang."""
+    return with_events(spark, sf_dir, texts(spark, sf_dir))
+
+
 cte(
     "posts",
     """SELECT CAST(e.event_id AS VARCHAR) AS id, d.text, e.ts, e.event_type AS author, e.value AS engagement,
@@ -241,18 +250,25 @@ cte(
 )
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.functions.text import normalize
     from postlens.operators.prepare import add_tokens
 
-    normal = posts(spark, sf_dir).withColumn("text_norm", normalize(F.col("text")))
-    return add_tokens(normal, "en")
+    return add_tokens(texts(spark, sf_dir).withColumn("text_norm", normalize(F.col("text"))), "en")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.operators.sentiment import label_posts
 
-    return label_posts(prepared(spark, sf_dir), LEXICONS)
+    return label_posts(prepared_texts(spark, sf_dir), LEXICONS)
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_events(spark, sf_dir, prepared_texts(spark, sf_dir))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_events(spark, sf_dir, labelled_texts(spark, sf_dir))
 
 
 def topic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

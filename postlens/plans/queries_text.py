@@ -10,6 +10,7 @@ from postlens.operators import prepare, sentiment
 from postlens.plans import bind as B
 from postlens.plans.bind import pct
 from postlens.plans.catalog import cte, query
+from postlens.session import stored
 
 ZH_TERMS = ("tion", "the", "th", "eau", "eaux", "und")
 
@@ -90,39 +91,53 @@ def detect_script(spark, sf_dir):
     return prepare.assign_language(B.posts(spark, sf_dir), "auto", "text").select("id", "lang")
 
 
+cte("uses_of", "SELECT event_id % (SELECT count(*) FROM documents) AS doc_id, count(*) AS uses FROM events GROUP BY 1", True)
 cte(
     "grams",
-    """SELECT id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS trigram
-    FROM (SELECT id, lang, string_split(lower(text), '') AS c FROM posts)""",
+    """SELECT doc_id, lang, trigram, count(*) AS n FROM (SELECT doc_id, lang,
+        unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS trigram
+        FROM (SELECT doc_id, lang, string_split(lower(text), '') AS c FROM documents)) GROUP BY ALL""",
+    True,
+)
+cte(
+    "gram_counts",
+    """SELECT lang, trigram, CAST(sum(n * uses) AS BIGINT) AS n FROM grams JOIN uses_of USING (doc_id)
+    WHERE lang IS NOT NULL GROUP BY lang, trigram""",
+    True,
 )
 cte(
     "gram_profiles",
-    """SELECT lang, trigram FROM (SELECT lang, trigram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC,
-        trigram) AS place FROM grams GROUP BY lang, trigram) WHERE place <= 300""",
+    """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, trigram) AS INTEGER) AS rank
+        FROM gram_counts) WHERE rank <= 300""",
+    True,
 )
 
 
-@query(
-    "language_profiles",
-    """SELECT lang, trigram, n, CAST(place AS INTEGER) AS rank FROM (SELECT lang, trigram, count(*) AS n,
-        row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, trigram) AS place FROM grams GROUP BY lang, trigram)
-    WHERE place <= 300""",
-)
+@query("language_profiles", "SELECT lang, trigram, n, rank FROM gram_profiles")
 def language_profiles(spark, sf_dir):
-    return prepare.language_profiles(B.posts(spark, sf_dir))
+    return _profiles(spark, sf_dir)
+
+
+def _profiles(spark, sf_dir):
+    """Profiles of the posts; each text's triples are made once and count as often as the text is posted."""
+    events = B.table(spark, sf_dir, "events")
+    n = B.table(spark, sf_dir, "documents").count()
+    uses = events.groupBy(F.pmod("event_id", F.lit(n)).alias("doc_id")).agg(F.count(F.lit(1)).alias("uses"))
+    return prepare.language_profiles(B.texts(spark, sf_dir).join(uses, "doc_id"), weight=F.col("uses"))
 
 
 @query(
     "detect_latin",
-    """SELECT posts.id, coalesce(tag, 'auto') AS lang FROM posts LEFT JOIN (
-        SELECT id, arg_min(p.lang, struct_pack(hits := -n, tag := p.lang)) AS tag FROM (
-            SELECT g.id, p.lang, count(*) AS n FROM grams g JOIN gram_profiles p ON g.trigram = p.trigram
-            GROUP BY g.id, p.lang) p GROUP BY id) best ON best.id = posts.id""",
+    """SELECT CAST(e.event_id AS VARCHAR) AS id, coalesce(tag, 'auto') AS lang
+    FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents) LEFT JOIN (
+        SELECT doc_id, arg_min(tag, struct_pack(hits := -hits, tag := tag)) AS tag FROM (
+            SELECT g.doc_id, p.lang AS tag, sum(g.n) AS hits FROM grams g JOIN gram_profiles p ON g.trigram = p.trigram
+            GROUP BY ALL) GROUP BY doc_id) best ON best.doc_id = d.doc_id""",
 )
 def detect_latin(spark, sf_dir):
-    labelled = B.posts(spark, sf_dir)
-    profiles = prepare.language_profiles(labelled).select("lang", "trigram")
-    return prepare.detect_language(labelled.drop("lang"), profiles).select("id", "lang")
+    profiles = stored(_profiles(spark, sf_dir).select("lang", "trigram"), "language-profiles")
+    texts = B.texts(spark, sf_dir).drop("lang")
+    return B.with_events(spark, sf_dir, prepare.detect_language(texts, profiles, id_col="doc_id")).select("id", "lang")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlens.operators import narrative, topics
+from postlens.operators import narrative, neighbours, topics, vectors
 from postlens.operators.topics import walsh_coords
 from postlens.plans import bind as B
 from postlens.plans.bind import half_even, pct
@@ -39,13 +39,36 @@ def topic_gate(spark, sf_dir):
     return topics.topic_gate(topics.topic_corpus(B.prepared(spark, sf_dir)))
 
 
-@query("embed_posts")
+cte(
+    "post_terms",
+    """SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM prepared WHERE length(text_norm) >= 4)
+    GROUP BY ALL""",
+    True,
+)
+cte(
+    "raw_weights",
+    """SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM prepared WHERE length(text_norm) >= 4))::DOUBLE / (1 + df)) + 1) AS raw
+    FROM post_terms JOIN (SELECT term, count(*) AS df FROM post_terms GROUP BY term) USING (term)""",
+    True,
+)
+
+
+@query(
+    "embed_posts",
+    f"""SELECT id, term, {half_even("raw / len", 9)} AS weight FROM raw_weights
+    JOIN (SELECT id, sqrt(sum(raw * raw)) AS len FROM raw_weights GROUP BY id) USING (id)""",
+)
 def embed_posts(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+    corpus = topics.topic_corpus(B.prepared(spark, sf_dir))
+    weights = vectors.sparse_vectors(stored(corpus.select("id", "tokens"), "corpus"))
+    return weights.withColumn("weight", F.rint(F.col("weight") * 1e9) / 1e9)
 
-    embedded = topics.embed_posts(topics.topic_corpus(B.prepared(spark, sf_dir)))
-    squares = F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x)
-    return embedded.select("id", F.round(squares, 6).alias("squared_length"))
+
+@query("reduce_sparse")
+def reduce_sparse(spark, sf_dir):
+    corpus = stored(topics.topic_corpus(B.prepared_texts(spark, sf_dir)).select("doc_id", "tokens"), "corpus")
+    reduced = vectors.reduce_sparse(stored(vectors.sparse_vectors(corpus, id_col="doc_id"), "vectors"), DIMS, corpus.count())
+    return reduced.select("id", *[F.round(F.get("coords", F.lit(i)), 6).alias(f"c{i}") for i in range(DIMS)])
 
 
 @query("reduce_dims")
@@ -129,6 +152,12 @@ def density_topics(spark, sf_dir):
     return found.select("vec_id", "topic_id")
 
 
+@query("neighbour_topics")
+def neighbour_topics(spark, sf_dir):
+    found = neighbours.neighbour_topics(_located(spark, sf_dir), DIMS, 0.25, MIN_POINTS, MIN_SIZE)
+    return found.select("vec_id", "topic_id")
+
+
 @query("kmeans_topics")
 def kmeans_topics(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
@@ -139,8 +168,8 @@ def kmeans_topics(spark, sf_dir):
 
 @query("fit_topics")
 def fit_topics(spark, sf_dir):
-    corpus = topics.topic_corpus(B.prepared(spark, sf_dir)).select("id", "tokens")
-    return topics.fit_topics(stored(corpus, "corpus"), 3, 8, 5, 10).select("id", "topic_id")
+    corpus = topics.topic_corpus(B.prepared(spark, sf_dir)).select("id", "tokens", "tokens_lem_str")
+    return topics.fit_topics(corpus, 3, min_points=5, min_topic_size=10).select("id", "topic_id")
 
 
 # --- keywords -----------------------------------------------------------------
@@ -259,6 +288,11 @@ def merge_topics(spark, sf_dir):
     return topics.merge_topics(_source_scores(spark, sf_dir), MERGE_AT)
 
 
+@query("merge_to_count")
+def merge_to_count(spark, sf_dir):
+    return topics.merge_to_count(_source_scores(spark, sf_dir), 5)
+
+
 # --- labels -------------------------------------------------------------------
 
 cte(
