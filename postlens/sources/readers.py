@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from postlens.seeds.words import NA_TOKENS
-
-# Encodings tried after UTF-8, in order, with the names Java has for them.
-FALLBACK_ENCODINGS = {"cp950": "MS950", "big5": "Big5"}
+from postlens.sources.records import Brackets, Quotes, chunk_effects, sha256_of, split_csv, split_json
 
 
 def all_string(df: DataFrame) -> DataFrame:
@@ -34,39 +31,24 @@ def na_tokens_to_null(df: DataFrame, tokens=tuple(NA_TOKENS)) -> DataFrame:
     return df.select(*[cleaned(c) for c in df.columns])
 
 
-def find_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid, else the first fallback that decodes every line, else an error.
-
-    Lines are checked as raw bytes in parallel; the driver sees one flag.
-    Decoding with a fallback needs spark.sql.legacy.javaCharsets, which is
-    switched on for the session when UTF-8 does not fit.
-    """
-    lines = spark.read.text(path)
-    if lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("ok")).first()["ok"]:
-        return "UTF-8"
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    for charset in FALLBACK_ENCODINGS.values():
-        decoded = F.decode(F.col("value").cast("binary"), charset)
-        try:
-            lines.agg(F.max(F.length(decoded))).collect()
-        except PySparkException as error:
-            if "MALFORMED_CHARACTER_CODING" not in str(error):
-                raise
-            continue
-        return charset
-    raise ValueError(f"could not decode {path} with UTF-8, cp950 or big5")
-
-
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False) -> DataFrame:
     """CSV with a header; RFC 4180 quotes. Missing-value tokens become null.
 
-    Files are split over tasks. Quoted line breaks need ``multiline``, which
-    reads each file in one task.
+    Files are split over tasks. One pass over the raw lines finds each file's
+    encoding (UTF-8, cp950 or Big5) and whether quotes hold line breaks. Plain
+    UTF-8 files go to Spark's reader; else records are cut and decoded file by
+    file (see ``records``). With ``encoding`` (and ``multiline``, which reads
+    each file in one task) Spark's reader is told what to do instead.
     """
+    if encoding is None and not multiline:
+        effects = chunk_effects(spark, path, Quotes())
+        plain = effects.agg(F.coalesce(F.bool_or(F.col("odd") | F.col("bad_0")), F.lit(False)).alias("no")).first()
+        if plain["no"]:
+            return na_tokens_to_null(split_csv(spark, path, effects))
     raw = (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("encoding", encoding or find_encoding(spark, path))
+        .option("encoding", encoding or "UTF-8")
         .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
@@ -76,7 +58,11 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multil
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array of records."""
+    """Files that each hold one JSON array of records, split over tasks; files of another shape are read by a task each."""
+    effects = chunk_effects(spark, path, Brackets())
+    other = effects.where((F.col("at") == 0) & (F.col("lead") != "["))
+    if other.isEmpty() and not effects.isEmpty():
+        return all_string(split_json(spark, path, effects))
     return all_string(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path))
 
 
@@ -102,6 +88,5 @@ def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of each raw file (up to 2 GB per file, a limit of the binaryFile source)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of each raw file, read in small blocks."""
+    return sha256_of(spark, path)

@@ -13,6 +13,9 @@ its split; only one record has to fit in memory.
 from __future__ import annotations
 
 import codecs
+import csv
+import io
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -22,18 +25,21 @@ from postlens.session import scratch_path, stored
 
 # Encodings tried in order, by Python's names; the first also drops a mark at the start.
 ENCODINGS = ("utf-8-sig", "cp950", "big5")
-_EFFECT = "file string, at bigint, turns boolean, depth_out bigint, depth_in bigint, " + ", ".join(
+_MARK = re.compile(rb'\\.|["{}\[\]]', re.S)
+_EFFECT = "file string, at bigint, lead string, odd boolean, turns boolean, depth_out bigint, depth_in bigint, " + ", ".join(
     f"bad_{i} boolean" for i in range(len(ENCODINGS))
 )
+MANY = 100_000
 _PIECE = "file string, at bigint, ord bigint, opens boolean, closes boolean, body binary"
 
 
 def fragments(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """file, at (start of the split), body (raw bytes between separators), in file order inside each task."""
+    """file, at (start of the split), place, body (raw bytes between separators), in file order inside each task."""
     lines = spark.read.option("lineSep", separator).text(path)
     return lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("body")
-    )
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("body"),
+    )
 
 
 # --- readers of one chunk ---------------------------------------------------------
@@ -69,15 +75,10 @@ class Brackets:
     @staticmethod
     def _marks(body: bytes):
         """Quotes and brackets of a fragment in order, without escaped ones."""
-        at, n = 0, len(body)
-        while at < n:
-            c = body[at]
-            if c == 0x5C:
-                at += 2
-                continue
-            if c in b'"{}[]':
-                yield at, c
-            at += 1
+        for mark in _MARK.finditer(body):
+            c = body[mark.start()]
+            if c != 0x5C:
+                yield mark.start(), c
 
     def effect(self, body: bytes) -> tuple[bool, int, int]:
         quoted, depth = False, [0, 0]
@@ -141,8 +142,12 @@ def _effects(reader):
         totals: dict[tuple, list] = {}
         for batch in batches:
             for file, at, body in zip(*[batch.column(n).to_pylist() for n in ("file", "at", "body")]):
-                total = totals.setdefault((file, at), [False, 0, 0, *[False] * len(ENCODINGS)])
+                if (file, at) not in totals:
+                    lead = body.removeprefix(codecs.BOM_UTF8).lstrip()[:1].decode("latin-1")
+                    totals[file, at] = [False, 0, 0, *[False] * len(ENCODINGS), lead, False]
+                total = totals[file, at]
                 turns, out, quoted = reader.effect(body)
+                total[-1] |= turns
                 # Depth changes seen from a start outside and inside quotes; a turn swaps which one counts next.
                 first, second = (quoted, out) if total[0] else (out, quoted)
                 total[1], total[2] = total[1] + first, total[2] + second
@@ -154,7 +159,7 @@ def _effects(reader):
                                 body.decode(name)
                             except UnicodeDecodeError:
                                 total[3 + i] = True
-        rows = [(*key, *total) for key, total in totals.items()]
+        rows = [(*key, *total[-2:], *total[:-2]) for key, total in totals.items()]
         if rows:
             names = [part.split()[0] for part in _EFFECT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
@@ -193,14 +198,21 @@ def encodings(effects: DataFrame) -> DataFrame:
     return bad.select("file", choice.alias("encoding"))
 
 
-def cut_records(spark: SparkSession, path: str, reader) -> tuple[DataFrame, DataFrame]:
+def chunk_effects(spark: SparkSession, path: str, reader) -> DataFrame:
+    """One row a chunk: its first mark, whether a fragment turns quotes over, its effect, encodings that fail."""
+    raw = fragments(spark, path, reader.separator.decode()).select("file", "at", "body")
+    return stored(raw.mapInArrow(_effects(reader), _EFFECT), "chunk-effects")
+
+
+def cut_records(spark: SparkSession, path: str, reader, effects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(file, at, ord, body: whole records as raw bytes in their files' order; file, encoding)."""
     raw = fragments(spark, path, reader.separator.decode())
-    effects = stored(raw.mapInArrow(_effects(reader), _EFFECT), "chunk-effects")
-    # One row a chunk: broadcast while it is small, by Spark's own estimate of the stored table.
-    located = raw.join(F.broadcast(starts(effects)) if effects.count() <= 100_000 else starts(effects), ["file", "at"])
-    if effects.count() > 100_000:
-        located = located.sortWithinPartitions("file", "at")
+    effects = chunk_effects(spark, path, reader) if effects is None else effects
+    # One row a chunk.
+    if effects.count() <= MANY:
+        located = raw.join(F.broadcast(starts(effects)), ["file", "at"])
+    else:
+        located = raw.join(starts(effects), ["file", "at"]).sortWithinPartitions("file", "at", "place")
     pieces = stored(located.mapInArrow(_cut(reader), _PIECE), "record-pieces")
     whole = pieces.where("opens AND closes").select("file", "at", "ord", "body")
     # Pieces over borders: at most two a chunk. Each goes to the last piece before it that opens a record.
@@ -222,58 +234,52 @@ def cut_records(spark: SparkSession, path: str, reader) -> tuple[DataFrame, Data
 def _decoded(batches):
     for batch in batches:
         out = []
-        for body, encoding in zip(batch.column("body").to_pylist(), batch.column("encoding").to_pylist()):
-            text = body.decode(encoding)
+        places = zip(*[batch.column(n).to_pylist() for n in ("at", "ord", "body", "encoding")])
+        for at, ord_, body, encoding in places:
+            text = body.decode("utf-8" if encoding == "utf-8-sig" and (at or ord_) else encoding)
             out.append(text[:-1] if text.endswith("\r") else text)
         yield pa.RecordBatch.from_arrays(
             [batch.column("file"), batch.column("at"), batch.column("ord"), pa.array(out, pa.string())], ["file", "at", "ord", "record"]
         )
 
 
-def text_records(spark: SparkSession, path: str, reader) -> DataFrame:
+def text_records(spark: SparkSession, path: str, reader, effects: DataFrame | None = None) -> DataFrame:
     """file, at, ord, record: decoded with each file's own encoding; a file that none decodes is an error."""
-    records, names = cut_records(spark, path, reader)
+    records, names = cut_records(spark, path, reader, effects)
     names = stored(names, "encodings")
     lost = names.where("encoding IS NULL").select("file").limit(3).collect()
     if lost:
         raise ValueError(f"could not decode {', '.join(r['file'] for r in lost)} with {', '.join(ENCODINGS)}")
     # One row a file.
-    with_names = records.join(F.broadcast(names) if names.count() <= 100_000 else names, "file")
+    with_names = records.join(F.broadcast(names) if names.count() <= MANY else names, "file")
     return with_names.select("file", "at", "ord", "body", "encoding").mapInArrow(_decoded, "file string, at bigint, ord bigint, record string")
 
 
-def split_csv(spark: SparkSession, path: str) -> DataFrame:
+def split_csv(spark: SparkSession, path: str, effects: DataFrame | None = None) -> DataFrame:
     """Columns of CSV files with a header each: quoted line breaks, splits and one encoding a file. All strings.
 
     Every file's first record is its header and has to name the same columns;
     empty lines are skipped; missing fields are null and surplus ones dropped.
     """
-    records = stored(text_records(spark, path, Quotes()).where("record <> ''"), "csv-records")
+    records = stored(text_records(spark, path, Quotes(), effects).where("record <> ''"), "csv-records")
     heads = records.groupBy("file").agg(F.min_by("record", F.struct("at", "ord")).alias("head"), F.min(F.struct("at", "ord")).alias("first"))
     some = heads.select("head").distinct().limit(2).collect()
     if len(some) > 1:
         raise ValueError("the files have different headers")
     if not some:
         return spark.createDataFrame([], "value string").limit(0)
-    names = next(iter_csv(some[0]["head"]))
+    names = next(csv.reader(io.StringIO(some[0]["head"], newline="")))
     columns = {f"c{i}": name for i, name in enumerate(names)}
     schema = ", ".join(f"{c} string" for c in columns)
-    rows = records.join(F.broadcast(heads.select("file", "first")) if heads.count() <= 100_000 else heads, "file")
+    rows = records.join(F.broadcast(heads.select("file", "first")) if heads.count() <= MANY else heads, "file")
     rows = rows.where((F.col("at") != F.col("first.at")) | (F.col("ord") != F.col("first.ord")))
-    parsed = rows.select(F.from_csv("record", schema, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}).alias("row"))
+    parsed = rows.select(F.from_csv("record", schema, {"quote": '"', "escape": '"', "multiLine": "true"}).alias("row"))
     return parsed.select(*[F.col(f"row.{c}").alias(name) for c, name in columns.items()])
 
 
-def iter_csv(record: str):
-    import csv
-    import io
-
-    return csv.reader(io.StringIO(record, newline=""))
-
-
-def split_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of files that each hold one JSON array of objects, every value as Spark infers it (primitives as strings)."""
-    records = text_records(spark, path, Brackets())
+def split_json(spark: SparkSession, path: str, effects: DataFrame | None = None) -> DataFrame:
+    """Records of UTF-8 files that each hold one JSON array of objects, values as Spark infers them (primitives as strings)."""
+    records = text_records(spark, path, Brackets(), effects)
     lines = scratch_path(spark, "json-lines")
     # A line end between tokens is white space; inside a string JSON has none.
     records.select(F.regexp_replace("record", "[\\r\\n]+", " ").alias("value")).write.text(lines)
@@ -331,7 +337,3 @@ def _digests(block: int) -> Callable:
                 )
 
     return run
-
-
-def known_encoding(name: str) -> str:
-    return codecs.lookup(name).name
