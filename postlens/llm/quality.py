@@ -175,10 +175,15 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
     return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
 
 
-def stands_for(rows: DataFrame, most: tuple[int, int]) -> tuple[float, float]:
-    """How many of the labelled rows (doc_id, y) one of a sample of at most ``most[y]`` stands for, by class."""
+def stands_for(rows: DataFrame, used: tuple[int, int]) -> tuple[float, float]:
+    """How many of the labelled rows (doc_id, y) one of the ``used[y]`` rows of a sample stands for, by class."""
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    return tuple(max(size.get(y, 0) / most[y], 1.0) for y in (0, 1))
+    return tuple(max(size.get(y, 0) / max(used[y], 1), 1.0) for y in (0, 1))
+
+
+def one_each(rows: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and label of rows(doc_id, text, label), one a doc_id: its least text, so that repeats add nothing."""
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(label).alias(label))
 
 
 def sample_of(labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -210,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model |
     calibration.
     """
     picked = F.broadcast(sample_of(labels, "quality", most))
-    texts = docs.select("doc_id", "text").join(picked, "doc_id")
+    texts = one_each(docs.select("doc_id", "text").join(picked, "doc_id"), "y")
     found = map_rows(texts, _hashed, "doc_id bigint, y int, slots binary, shares binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))
     if len({r["y"] for r in rows}) < 2:
@@ -221,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model |
     fitted, held = split
     if len({r[2] for r in fitted}) < 2:
         return None
-    return fit(fitted, held, stands_for(labelled(labels, "quality"), (most, most)))
+    used = tuple(sum(r["y"] == y for r in rows) for y in (0, 1))
+    return fit(fitted, held, stands_for(labelled(labels, "quality"), used))
 
 
 def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.quality import labelled, stands_for
+from postlens.llm.quality import labelled, one_each, stands_for
 from postlens.llm.tables import map_rows, stored
 from postlens.llm.words import mix64, shingle_set
 
@@ -146,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_each(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic")
 
 
 SKETCHES = 4
@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = map_rows(sample.select("text", "toxic"), _measured(shared), "toxic int, density double, some double").collect()
     x = np.array([(r["density"], r["some"]) for r in rows])
     y = np.array([r["toxic"] for r in rows])
-    weight = np.array(stands_for(labelled(labels.where(~held_out()), "toxic"), (MAX_CLEAN, MAX_TOXIC)))[y]
+    weight = np.array(stands_for(labelled(labels.where(~held_out()), "toxic"), (n_clean, n_toxic)))[y]
     return Model(lexicon, fit_curve(x, y.astype(float), weight))
 
 

@@ -131,3 +131,12 @@ def test_weighted_calibration_gives_the_shares_back():
     weight = np.where(y[part] == 1, (y == 1).sum() / 9000, (y == 0).sum() / 9000)
     whole, sampled = quality.calibrate(margin, y), quality.calibrate(margin[part], y[part], weight)
     assert abs(whole[0] - sampled[0]) < 0.1 and abs(whole[1] - sampled[1]) < 0.1
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    rows = [(1, f"bad words again {i}") for i in range(500)] + [(2, "good words of another kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    picked = quality.sample_of(labels, "quality", 10)
+    assert quality.one_each(docs.join(picked, "doc_id"), "y").count() == 2
+    assert quality.stands_for(picked, (1, 0)) == (1.0, 1.0)
