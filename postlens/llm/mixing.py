@@ -185,5 +185,13 @@ def place(copies: DataFrame, n_blocks: int, carried: list[str]) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The copies in order of their places, with the columns of docs."""
-    return mix(docs, source).repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").select(*docs.columns)
+    """The copies in order of their places, with the columns of docs; those named like the mixture's are kept apart from it."""
+    aside = {}
+    for name in docs.columns:
+        if name in ADDED:
+            aside[name] = f"given_{name}"
+            while aside[name] in docs.columns:
+                aside[name] += "_"
+    copies = mix(docs.withColumnsRenamed(aside), aside.get(source, source))
+    ordered = copies.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
+    return ordered.select(*[F.col(aside.get(name, name)).alias(name) for name in docs.columns])

@@ -77,3 +77,11 @@ def test_words_nulls_repeats_and_empty_tables(spark):
     assert frame.select(mixing.n_words().alias("n")).collect() == [(1,), (3,), (1,), (1,)]
     assert mixing.mix(frame.limit(0)).count() == 0
     assert mixing.mixed_documents(frame).columns == frame.columns
+
+
+def test_columns_named_like_the_mixture_keep_their_values(spark):
+    rows = [(i, "some words here", "s", 100 + i, -1.5, "p") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, block long, mix_weight double, place string")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == set(rows)
