@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postlens.llm.tables import slices, stored
 from postlens.llm.words import mix64, powers, prefix_sums
@@ -207,14 +207,11 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     ordered = ordered.sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     walked = stored(ordered.mapInArrow(_walk, f"{COLUMNS}, part bigint, first boolean, first_text string, last_text string"), "fingerprints")
     heads = walked.where("first").select("part", F.col("first_text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
-    parts = sorted(r["part"] for r in heads.select("part").collect())  # one number a partition
-    following = dict(zip(parts, parts[1:] + parts[:1]))
-    tails = walked.where("last_text IS NOT NULL")
-    if following:
-        pairs = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])
-        tails = tails.withColumn("next_part", pairs[F.col("part")])
-    else:
-        tails = tails.withColumn("next_part", F.col("part"))
+    # One row a partition, hence a window without partitions; the last one is followed by the first.
+    order = Window.orderBy("part")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = heads.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)).alias("next_part"))
+    tails = walked.where("last_text IS NOT NULL").join(following, "part")
     joined = tails.join(heads.withColumnRenamed("part", "head_part"), F.col("next_part") == F.col("head_part"))
     ends = joined.select("doc_id", "last_text", "fingerprint", "next_text", "next_mark").mapInArrow(_ends, COLUMNS)
     return walked.where("last_text IS NULL").select(*_NAMES).unionByName(ends)
