@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.components import components
-from postlens.llm.tables import map_rows, stored
+from postlens.llm.tables import BROADCAST_ROWS, map_rows, stored
 from postlens.llm.words import mix64, shingle_set
 
 BANDS = 32
@@ -106,7 +106,8 @@ def _overlaps():
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) with linked: whether the full sets of both texts are similar enough."""
+    """pairs(a, b), stored, with linked: whether the full sets of both texts are similar enough."""
+    texts = needed(texts, pairs.select(F.explode(F.array("a", "b")).alias("needed_id")))
     left = texts.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
     right = texts.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
     joined = pairs.join(left, F.col("a") == F.col("left_id")).drop("left_id")
@@ -114,6 +115,14 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(joined.select("a", "b", "left_text", "right_text"), _overlaps, "a bigint, b bigint, linked boolean")
 
 
+def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these ids (one column); while there are few, the others are left where they lie."""
+    ids = stored(ids.distinct(), "needed")
+    if ids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return texts
+    return texts.join(F.broadcast(ids), texts["doc_id"] == ids[ids.columns[0]], "left_semi")
+
+
 def _similar_size():
     small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
     return 100 * small >= SIMILARITY * large
@@ -238,6 +247,7 @@ def _cell_links():
 def chunk_links(named: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between components in the large buckets."""
     members, cells = _chunks(named, keys)
+    texts = needed(texts, members.select("rep"))
     found = texts.join(members, texts["doc_id"] == members["rep"]).select("rep", "root", "chunk", "text")
     sets = map_rows(found, _sets, "rep bigint, root bigint, chunk bigint, marks binary").dropDuplicates(["rep"])
     chunks = stored(sets.groupBy("chunk").agg(F.collect_list(F.struct("rep", "root", "marks")).alias("held")), "chunks")
@@ -262,16 +272,23 @@ def near_classes(docs: DataFrame) -> DataFrame:
     for leader in ("first", "drawn"):
         named = _with_roots(buckets, roots)
         pairs = stored(_with_leader(named, leader), "pairs")
+        if pairs.isEmpty():
+            continue
         found_links = stored(confirm(pairs, texts).where("linked").select("a", "b").distinct(), "links")
         links = found_links if links is None else links.unionByName(found_links)
         roots = stored(components(links), "roots")
     named = stored(_with_roots(buckets, roots), "named-buckets")
     keys = stored(_open(named), "open-buckets")
     pairs = stored(_all_across(named, keys.where(F.col("members") <= PAIRS_UP_TO)), "pairs")
-    links = links.unionByName(stored(confirm(pairs, texts).where("linked").select("a", "b").distinct(), "links"))
+    more = [] if pairs.isEmpty() else [stored(confirm(pairs, texts).where("linked").select("a", "b").distinct(), "links")]
     large = keys.where(F.col("members") > PAIRS_UP_TO).select("open_key", "members")
-    links = links.unionByName(stored(chunk_links(named, large, texts), "links"))
-    roots = stored(components(links), "roots")
+    if not large.isEmpty():
+        more.append(stored(chunk_links(named, large, texts), "links"))
+    for found_links in more:
+        links = found_links if links is None else links.unionByName(found_links)
+    if links is None:
+        links = pairs.select("a", "b").limit(0)
+    roots = stored(components(links), "roots") if more or roots is None else roots
     classes = reps.select(F.col("digest").alias("class_digest"), "rep")
     classes = classes.join(roots, classes["rep"] == roots["id"], "left").withColumn("rep", F.coalesce("root", "rep"))
     classes = classes.select("class_digest", F.col("rep").alias("class_id"))
@@ -283,7 +300,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class, with the columns of docs; a doc_id that occurs twice stays once, null ids stay."""
+    """One row of each class, with the columns of docs.
+
+    Of rows equal in doc_id and text one stays; rows that share a doc_id but
+    differ in text all stay if the id does; rows without an id stay.
+    """
     kept = near_classes(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return rows.unionByName(docs.where("doc_id IS NULL"))

@@ -103,3 +103,9 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200, 202: 200}
     assert got == want
     assert components(frame.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_all_stay(spark):
+    rows = [(1, "one text of some words here"), (1, "a wholly different one with other content"), (1, "one text of some words here"), (2, "third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.keep_first(docs).collect()) == sorted(set(rows))
