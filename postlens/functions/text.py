@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from postlens.functions.numbers import let
+from postlens.functions.segment import segment
 from postlens.seeds import patterns as P, words as W
 
 
@@ -99,7 +100,9 @@ def zh_dictionary(extra_terms=()) -> list[str]:
 
 
 def tokenize_dictionary(text: Column, terms) -> Column:
-    """Longest match against a term list."""
+    """Tokens by a term list (longest match from the left), or by a dict of word frequencies (likeliest path)."""
+    if isinstance(terms, dict):
+        return segment(text, terms)
     return F.regexp_extract_all(text, F.lit(dictionary_pattern(terms)), F.lit(0))
 
 

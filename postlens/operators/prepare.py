@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import text as T
-from postlens.functions.numbers import round_half_even
+from postlens.functions.numbers import let, round_half_even
 from postlens.functions.quantiles import quantiles
 from postlens.functions.ranking import top_k_per_group
 from postlens.seeds import words as W
 
 PROFILE_SIZE = 300
-ENGLISH_WORDS = ("the", "and", "of", "to", "is", "are", "was", "with", "this", "that", "for", "have", "you", "we")
+WORDS_PER_HIT = 12
 
 
 def assign_language(posts: DataFrame, declared: str = "auto", text_col: str = "text_norm", detector=None) -> DataFrame:
@@ -68,14 +68,22 @@ def detect_language(
     return joined.withColumn("lang", T.script_language(F.col(text_col), "auto", lambda _: other)).drop("gram_id", "best")
 
 
-def latin_default(text: Column) -> Column:
-    """The detector of a pipeline without profiles: English where a word of its lists occurs, else 'auto'.
+def language_by_words(text: Column) -> Column:
+    """The detector of a pipeline without profiles: the language with most of its frequent words in the text.
 
-    English is the one Latin-script language with a shipped lexicon.
+    Ties, and texts in which fewer than one word in ``WORDS_PER_HIT`` is known,
+    give 'auto'. English is the one Latin-script language with a shipped lexicon.
     """
-    known = {*W.STOPWORDS["en"], *W.EN_POSITIVE, *W.EN_NEGATIVE, *W.EN_NEGATORS, *W.EN_INTENSIFIERS, *ENGLISH_WORDS}
-    words = "|".join(sorted(known))
-    return F.when(F.lower(text).rlike(f"(?<![a-z'])(?:{words})(?![a-z'])"), F.lit("en")).otherwise(F.lit("auto"))
+
+    def decide(words: Column) -> Column:
+        hits = [F.struct(F.size(F.filter(words, lambda w: w.isin(known))).alias("n"), F.lit(tag).alias("tag"))
+                for tag, known in W.FREQUENT_WORDS.items()]
+        return let(F.array_sort(F.array(*hits), lambda a, b: b["n"] - a["n"]), lambda best: F.when(
+            (F.get(best, F.lit(0))["n"] > F.get(best, F.lit(1))["n"]) & (F.get(best, F.lit(0))["n"] * WORDS_PER_HIT >= F.size(words)),
+            F.get(best, F.lit(0))["tag"],
+        ).otherwise(F.lit("auto")))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}']+"), F.lit(0)), decide)
 
 
 def prepare_posts(

@@ -129,11 +129,20 @@ def applied_answers(answers: DataFrame) -> DataFrame:
     )
 
 
+def schema_answer(answers: DataFrame, fields: list[str]) -> DataFrame:
+    """One column a field: what the latest approved answers say, as JSON ``{"schema": {...}}`` or the fields alone."""
+    shape = ", ".join(f"{f}: string" for f in fields)
+    parsed = F.from_json("response", f"struct<schema: struct<{shape}>, {shape}>")
+    replies = applied_answers(answers).select(parsed.alias("given"))
+    return replies.select(*[F.coalesce(F.col(f"given.schema.{f}"), F.col(f"given.{f}")).alias(f) for f in fields])
+
+
 def topic_label_answers(queue: DataFrame, answers: DataFrame) -> DataFrame:
-    """topic_id, label from the latest approved answers to topic questions (JSON object id -> label)."""
+    """topic_id, label from the latest approved answers to topic questions: ``{"labels": {id: label}}`` or the map alone."""
     asked = queue.where((F.col("stage") == "topic") & (F.col("question_type") == "label")).select("question_id")
     replies = applied_answers(answers).join(asked, "question_id", "left_semi")
-    parsed = F.from_json("response", "map<string,string>")
+    nested = F.from_json("response", "struct<labels: map<string,string>>")["labels"]
+    parsed = F.coalesce(nested, F.from_json("response", "map<string,string>"))
     return replies.select(F.explode(parsed).alias("topic", "label")).select(
         F.col("topic").try_cast("int").alias("topic_id"), "label"
     )

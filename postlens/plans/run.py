@@ -27,7 +27,11 @@ class Analysis:
 
 
 def analyse_topics(
-    staged: DataFrame, clean_summary: DataFrame, language: str, thresholds: Thresholds = Thresholds()
+    staged: DataFrame,
+    clean_summary: DataFrame,
+    language: str,
+    thresholds: Thresholds = Thresholds(),
+    labels: DataFrame | None = None,
 ) -> Analysis:
     """From posts with topic_id and final_label to findings.
 
@@ -36,6 +40,9 @@ def analyse_topics(
     once are written too, so that no heavy step is planned twice.
     """
     drafts = stored(topics.auto_label(staged, topics.top_keywords(topics.ctfidf(staged))), "draft-labels")
+    if labels is not None:
+        renamed = drafts.withColumnRenamed("auto_label", "analyst_label")
+        drafts = stored(topics.apply_labels(renamed, labels).withColumnRenamed("analyst_label", "auto_label"), "labels")
     named = topics.with_labels(staged, drafts)
     stories = stored(
         narrative.narrative_table(narrative.narrative_evidence(named, drafts), drafts, language), "narratives"
@@ -65,7 +72,7 @@ def label_stage(
     language: str = "auto",
     lexicons=None,
     bot_labels=None,
-    detector=prepare.latin_default,
+    detector=prepare.language_by_words,
     domain_patterns=SARCASM_SEEDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean, prepare and label: (labelled organic posts, clean summary).

@@ -86,3 +86,12 @@ SARCASM_SEEDS = {
     "zh-TW": [("感謝(政府|官員)", "positive_to_negative", 0.65)],
     "en": [("(thanks|wow|great), (government|gov)", "positive_to_negative", 0.55)],
 }
+
+# Frequent words by language, none of them in two lists.
+FREQUENT_WORDS = {
+    "de": "der die das und ist nicht ein eine einen mit für auf dem den von zu sich im wir ich auch noch aber oder".split(),
+    "en": "the and of to is are with this that for have you we it be by at from they would their our has been".split(),
+    "es": "el los las y que por con para como más pero su sus una del muy está hay todo cuando sin ya lo".split(),
+    "fr": "le les et est dans pour qui pas sur avec vous nous ce au du des cette mais sont plus être il elle ne".split(),
+    "nl": "het een van niet dat op voor zijn aan ook maar naar wij ik bij uit nog wel deze hebben wordt geen".split(),
+}
