@@ -40,15 +40,16 @@ def topic_gate(spark, sf_dir):
 
 
 cte(
-    "post_terms",
-    """SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM prepared WHERE length(text_norm) >= 4)
-    GROUP BY ALL""",
+    "normal_texts",
+    f"""SELECT doc_id AS id, {B.sql_latin_words("text_norm")} AS tokens FROM (
+        SELECT doc_id, {B.sql_normalize("text")} AS text_norm FROM documents) WHERE length(text_norm) >= 4""",
     True,
 )
+cte("text_terms", "SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM normal_texts) GROUP BY ALL", True)
 cte(
     "raw_weights",
-    """SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM prepared WHERE length(text_norm) >= 4))::DOUBLE / (1 + df)) + 1) AS raw
-    FROM post_terms JOIN (SELECT term, count(*) AS df FROM post_terms GROUP BY term) USING (term)""",
+    """SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM normal_texts))::DOUBLE / (1 + df)) + 1) AS raw
+    FROM text_terms JOIN (SELECT term, count(*) AS df FROM text_terms GROUP BY term) USING (term)""",
     True,
 )
 
@@ -59,8 +60,8 @@ cte(
     JOIN (SELECT id, sqrt(sum(raw * raw)) AS len FROM raw_weights GROUP BY id) USING (id)""",
 )
 def embed_posts(spark, sf_dir):
-    corpus = topics.topic_corpus(B.prepared(spark, sf_dir))
-    weights = vectors.sparse_vectors(stored(corpus.select("id", "tokens"), "corpus"))
+    corpus = topics.topic_corpus(B.prepared_texts(spark, sf_dir)).select("doc_id", "tokens")
+    weights = vectors.sparse_vectors(stored(corpus, "corpus"), id_col="doc_id")
     return weights.withColumn("weight", F.rint(F.col("weight") * 1e9) / 1e9)
 
 

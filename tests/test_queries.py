@@ -24,3 +24,9 @@ def test_queries_cut_no_posts(spark):
     from postlens.plans import bind
 
     assert bind.posts(spark, SMALL).count() == bind.table(spark, SMALL, "events").count()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    rows = QUERIES[name](spark, SMALL)
+    assert len(rows.collect()) > 0 and rows.columns
