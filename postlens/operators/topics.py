@@ -264,8 +264,11 @@ def similar_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     terms are ordered by the number of topics that use them, rarest first, and a
     topic is only looked up by the leading terms that together could carry a
     cosine of ``threshold``. Terms all topics share never bring topics together,
-    and no pair at or above the threshold is lost. ``scored`` is read several
-    times, so give it as a stored table.
+    and no pair at or above the threshold is lost. From the first term that a
+    pair shares, its cosine is at most the product of what both topics have
+    left there (Cauchy-Schwarz), so a shared term makes a pair only where that
+    product reaches the threshold. ``scored`` is read several times, so give it
+    as a stored table.
     """
     real = scored.where((F.col("topic_id") != OUTLIER) & (F.col("score") > 0))
     lengths = real.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
@@ -280,11 +283,13 @@ def similar_topics(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     prefix = (
         unit.withColumn("left_over", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onwards)))
         .where(F.col("left_over") >= threshold - 1e-9)
-        .select("topic_id", "term")
+        .select("topic_id", "term", "left_over")
     )
-    a = prefix.select(F.col("topic_id").alias("topic_a"), "term")
-    b = prefix.select(F.col("topic_id").alias("topic_b"), "term")
-    candidates = a.join(b, "term").where(F.col("topic_a") < F.col("topic_b")).select("topic_a", "topic_b").distinct()
+    a = prefix.select(F.col("topic_id").alias("topic_a"), "term", F.col("left_over").alias("left_a"))
+    b = prefix.select(F.col("topic_id").alias("topic_b"), F.col("term").alias("term_b"), F.col("left_over").alias("left_b"))
+    reachable = F.col("left_a") * F.col("left_b") >= threshold - 1e-9
+    meet = (F.col("term") == F.col("term_b")) & (F.col("topic_a") < F.col("topic_b")) & reachable
+    candidates = a.join(b, meet).select("topic_a", "topic_b").distinct()
     left = unit.select(F.col("topic_id").alias("topic_a"), "term", F.col("w").alias("w_a"))
     right = unit.select(F.col("topic_id").alias("topic_b"), "term", F.col("w").alias("w_b"))
     return (
