@@ -85,3 +85,46 @@ def test_columns_named_like_the_mixture_keep_their_values(spark):
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} == set(rows)
+
+
+def plain_mix(rows, exponent, block_tokens, orders):
+    """{(doc_id, epoch): (weight, place, block)} by one running sum a source and epoch. rows: (doc_id, source, tokens)."""
+    size = defaultdict(int)
+    for _, source, tokens in rows:
+        size[source] += tokens
+    whole = sum(size.values())
+    raw = {s: (n / whole) ** exponent for s, n in size.items()}
+    scale = max(size[s] / raw[s] for s in size)
+    quota = {s: math.floor(raw[s] * scale + 0.5) for s in size}
+    n_blocks = max(1, round(sum(quota.values()) / block_tokens))
+    out = {}
+    for source, limit in quota.items():
+        for epoch in range(math.ceil(limit / size[source])):
+            begin = epoch * size[source]
+            mine = sorted((orders[doc, epoch], doc, tokens) for doc, s, tokens in rows if s == source)
+            for _, doc, tokens in mine:
+                if begin < limit:
+                    place = min((begin + tokens / 2) / limit, 1.0)
+                    block = min(math.floor(place * n_blocks), n_blocks - 1)
+                    out[doc, epoch] = (raw[source] / sum(raw.values()), place, block)
+                begin += tokens
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [2000, 4])
+def test_mixture_equals_one_running_sum_a_source(spark, docs, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    given = [(r["doc_id"], r["source"], r["tokens"]) for r in docs.collect()]
+    exponent = mixing.bisect_exponent(mixing.totals(docs.selectExpr("coalesce('=' || source, '') AS source", "tokens")))
+    ordered = docs.selectExpr("doc_id", "explode(sequence(0, 3)) AS e").selectExpr(
+        "doc_id", "e", "shiftrightunsigned(xxhash64(xxhash64(doc_id), e), 1) AS place"
+    )
+    orders = {(r["doc_id"], r["e"]): r["place"] for r in ordered.collect()}
+    want = plain_mix(given, exponent, 1500, orders)
+    found = mixing.mix(docs, tokens="tokens", block_tokens=1500).collect()
+    got = {(r["doc_id"], r["epoch"]): (r["mix_weight"], r["place"], r["block"]) for r in found}
+    assert len(got) == len(found) and set(got) == set(want)
+    for copy, (weight, place, block) in want.items():
+        assert abs(got[copy][0] - weight) < 1e-12 and abs(got[copy][1] - place) < 1e-12
+        assert got[copy][2] == block, copy
+    assert len({e for _, e in want}) > 1

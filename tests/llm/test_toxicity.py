@@ -93,3 +93,45 @@ def test_scores_do_not_shift_with_the_bounds(spark, monkeypatch):
     capped = tox.train(frame, given)
     for weights in ([], [sorted(free.lexicon.words.values())[-1]]):
         assert abs(free.score(weights, 40) - capped.score(weights, 40)) < 0.15
+
+
+def naive_hits(words, lexicon):
+    """Every term at every word, every phrase at every place."""
+    covered = set()
+    for phrase in lexicon.exceptions:
+        parts = tox.folded_words(phrase)
+        for at in range(len(words) - len(parts) + 1):
+            if words[at : at + len(parts)] == parts:
+                covered.update(range(at, at + len(parts)))
+    out = []
+    for at, word in enumerate(words):
+        weights = [w for term, w in lexicon.words.items() if word == term]
+        weights += [w for stem, w in lexicon.stems.items() if word.startswith(stem)]
+        if weights and at not in covered:
+            out.append(max(weights))
+    return out
+
+
+def test_matcher_equals_every_term_at_every_word():
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abio") for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    for _ in range(150):
+        words = {rng.choice(pool): rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randrange(12))}
+        stems = {w: rng.choice([0.25, 1.5, 3.0]) for w in rng.sample(pool, 8) if len(w) >= 3}
+        phrases = tuple(" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))) for _ in range(6))
+        lexicon = tox.Lexicon(words, stems, phrases)
+        # Phrases stand in the text too, some cut short, some one after another.
+        text = [rng.choice([*pool, *phrases, *(p.split()[0] for p in phrases)]) for _ in range(80)]
+        given = tox.folded_words(" ".join(text))
+        assert tox.hits(lexicon.matcher(), given) == naive_hits(given, lexicon)
+
+
+def test_very_long_texts_and_clashing_columns(spark, tables):
+    docs, labels = tables
+    model = tox.train(docs, labels)
+    long = "plain words " * 400_000 + "zorgle"
+    rows = [(1, long, 0.7, 5, "x"), (2, "zorgle here", 0.1, 5, "y")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, score double, n_words int, predicted string")
+    got = {r["doc_id"]: r for r in tox.score(frame, model).collect()}
+    assert got[1]["n_words"] == 800_001 and got[1]["n_hits"] == 1 and got[2]["predicted"] == 1
+    assert got[1]["score"] < got[2]["score"]
