@@ -5,14 +5,15 @@ own coder and its own model, reset at its start; numpy runs the same step of
 all blocks together. The chance of an id is a mixture of three predictions:
 order 2 and order 1 each name the id that last followed the two ids, or the
 one id, before (in tables by a hash of them), with the rate of hits that this
-block has seen at the prediction's present confidence as its weight; order 0
+block has seen at the present runs of hits of both as its weight; order 0
 gives every id its frequency in the segment, from the segment's header. The
 chances are integers, so coder and decoder agree on every machine.
 
-The range coder keeps 48 bits and gives out 16 at a time. A segment's bytes
-are its header, for each block its number of ids, of 16-bit words and the
-CRC-32 of its ids, and the blocks' words. A block can be decoded without any
-other; a wrong checksum raises ``ValueError``.
+The range coder keeps 64 bits and gives out 32 at a time, at most once an id:
+where the range falls below 2^32 and would reach over a multiple of 2^32, it
+is cut there. A segment's bytes are its header, for each block its number of
+ids, of 32-bit words and the CRC-32 of its ids, and the blocks' words. A block
+can be decoded without any other; a wrong checksum raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-LANES = 2048
-MAGIC = b"CMR1"
+LANES = 4096
+MAGIC = b"CMR2"
 TABLE_BITS = 10
 WEIGHT_BITS = 10
 FREQUENCY_BITS = 18
-LEVELS = 8
+LEVEL_BITS = 2
 _TOTAL = WEIGHT_BITS + FREQUENCY_BITS
 _U = np.uint64
-_TOP, _LEAST, _MASK = _U(1 << 32), _U(1 << 31), _U((1 << 48) - 1)
-_TOP_WEIGHT = (1 << WEIGHT_BITS) - 16
+_WORD, _LEAST, _LOW = _U(32), _U(1 << 32), _U((1 << 32) - 1)
+_RATE_STEP = 4
+_RATE_GAIN = ((1 << WEIGHT_BITS) - 1) >> _RATE_STEP
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ class Prior:
 
     def __init__(self, present: np.ndarray, shares: np.ndarray):
         size = int(present[-1]) + 1
-        self.frequency, self.first = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.frequency, self.first = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
         self.frequency[present] = shares
         self.first[present] = np.cumsum(shares) - shares
         self.of_slot = np.repeat(present, shares).astype(np.int32)
@@ -65,55 +67,76 @@ class Prior:
 
 
 class Model:
-    """The adaptive predictions of ``lanes`` blocks. An entry is the id and, in its low bits, the confidence."""
+    """The adaptive predictions of ``lanes`` blocks; row 0 of every pair of rows is order 1, row 1 is order 2.
+
+    An entry is an id and, in its low bits, its level: how often running it came
+    true, up to 3, or 0 where none was seen. A pair of levels has one number with
+    the hit rates of order 2 (upper half) and of order 1 (lower half).
+    """
 
     def __init__(self, lanes: int):
-        self.two = np.zeros(lanes << TABLE_BITS, dtype=np.int32)
-        self.one = np.zeros(lanes << TABLE_BITS, dtype=np.int32)
-        start = (np.arange(LEVELS) * (1 << WEIGHT_BITS) // (LEVELS + 1)).astype(np.int32)
-        self.rate_two, self.rate_one = np.tile(start, lanes), np.tile(start, lanes)
-        self.row = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.rate_row = np.arange(lanes, dtype=np.int64) * LEVELS
-
-    def places(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the tables for the two ids before; the last axis is that of the blocks."""
-        row, mask = self.row[: last.shape[-1]], np.int64((1 << TABLE_BITS) - 1)
-        mixed = last * np.int64(0x9E3779B1)
-        one = ((mixed >> np.int64(13)) & mask) + row
-        return one, (((mixed + before * np.int64(0x85EBCA77)) >> np.int64(15)) & mask) + row
-
-    def predict(self, at_one: np.ndarray, at_two: np.ndarray):
+        self.entries = np.zeros(2 * lanes << TABLE_BITS, dtype=np.int32)
+        levels = np.arange(1 << LEVEL_BITS, dtype=np.int32)
+        start = (levels << WEIGHT_BITS) // (len(levels) + 1)
+        self.rates = np.tile(((start[:, None] << 16) | start).reshape(-1), lanes)
+        self.row = (np.arange(2 * lanes, dtype=np.int64) << TABLE_BITS).reshape(2, lanes)
+        self.rate_row = np.arange(lanes, dtype=np.int64) << (2 * LEVEL_BITS)
+
+    def places(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Places of the entries for the two ids before: the last axis is that of the blocks, before it the two orders."""
+        n, shift = last.shape[-1], np.uint32(32 - TABLE_BITS)
+        out = np.empty((*last.shape[:-1], 2, n), dtype=np.int64)
+        mixed = last.view(np.uint32) * np.uint32(0x9E3779B1)
+        np.add(mixed >> shift, self.row[0, :n], out=out[..., 0, :])
+        mixed += before.view(np.uint32) * np.uint32(0x85EBCA77)
+        np.add(mixed >> shift, self.row[1, :n], out=out[..., 1, :])
+        return out
+
+    def predict(self, at: np.ndarray):
         """Fixes the step's predictions and weights."""
-        n = len(at_one)
-        self.at_one, self.at_two = at_one, at_two
-        self.entry_two, self.entry_one = self.two[self.at_two], self.one[self.at_one]
-        self.level_two, self.level_one = self.entry_two & 7, self.entry_one & 7
-        self.id_two, self.id_one = self.entry_two >> 3, self.entry_one >> 3
-        self.at_rate_two, self.at_rate_one = self.rate_row[:n] + self.level_two, self.rate_row[:n] + self.level_one
-        two = np.minimum(self.rate_two[self.at_rate_two], _TOP_WEIGHT)
-        two *= self.level_two > 0
-        one = ((1 << WEIGHT_BITS) - two) * self.rate_one[self.at_rate_one] >> WEIGHT_BITS
-        one *= (self.level_one > 0) & ((self.id_one != self.id_two) | (self.level_two == 0))
-        rest = (1 << WEIGHT_BITS) - two - one
-        short = np.maximum(16 - rest, 0)
-        one -= short
-        self.rest = (rest + short).astype(np.int64)
-        self.weight_two = two.astype(np.int64) << FREQUENCY_BITS
-        self.weight_one = one.astype(np.int64) << FREQUENCY_BITS
+        self.at = at
+        entry = self.entries.take(at)
+        self.level = entry & np.int32((1 << LEVEL_BITS) - 1)
+        entry >>= LEVEL_BITS
+        self.ids = entry
+        at_rate = self.level[1] << LEVEL_BITS
+        at_rate += self.level[0]
+        self.at_rate = at_rate + self.rate_row[: at.shape[-1]]
+        self.rate = self.rates.take(self.at_rate)
+        weight = np.empty_like(entry)
+        one, two = weight
+        np.right_shift(self.rate, 16, out=two)
+        self.rest = np.int32(1 << WEIGHT_BITS) - two
+        np.bitwise_and(self.rate, np.int32(0xFFFF), out=one)
+        one *= self.rest
+        one >>= WEIGHT_BITS
+        self.rest -= one
+        weight <<= FREQUENCY_BITS
+        self.weight = weight
+
+    def interval(self, ids: np.ndarray, first: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of the ids' shares of 2^28, from their order 0 given as first slot and frequency."""
+        self.hit = self.ids == ids
+        begin, size = self.rest * first, self.rest * frequency
+        below, equal = self.weight * (self.ids < ids), self.weight * self.hit
+        begin += below[0]
+        begin += below[1]
+        size += equal[0]
+        size += equal[1]
+        return begin.view(np.uint32), size.view(np.uint32)
 
     def learn(self, ids: np.ndarray):
-        """Takes in the ids that came."""
-        for table, at, entry, level, rates, at_rate in (
-            (self.two, self.at_two, self.entry_two, self.level_two, self.rate_two, self.at_rate_two),
-            (self.one, self.at_one, self.entry_one, self.level_one, self.rate_one, self.at_rate_one),
-        ):
-            hit = (entry >> 3) == ids
-            known = level > 0
-            hit &= known
-            rate = rates[at_rate]
-            rates[at_rate] = np.where(known, rate + ((hit * ((1 << WEIGHT_BITS) - 1) - rate) >> 4), rate)
-            weaker = np.where(level > 1, entry - level + (level >> 1), (ids << 3) | 1)
-            table[at] = np.where(hit, entry + (level < LEVELS - 1), weaker)
+        """Takes in the ids that came, after ``interval`` has seen them."""
+        rate = self.rate
+        rate -= (rate >> _RATE_STEP) & np.int32(_RATE_GAIN << 16 | _RATE_GAIN)
+        rate += self.hit[1] * np.int32(_RATE_GAIN << 16)
+        rate += self.hit[0] * np.int32(_RATE_GAIN)
+        self.rates[self.at_rate] = rate
+        level = self.level
+        level *= self.hit
+        np.minimum(level, np.int32((1 << LEVEL_BITS) - 2), out=level)
+        level += (ids << LEVEL_BITS) + np.int32(1)
+        self.entries[self.at] = level
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -122,55 +145,48 @@ def encode(ids: np.ndarray) -> bytes:
     prior = Prior(*frequencies(ids))
     lanes = -(-len(ids) // BLOCK)
     steps = min(BLOCK, len(ids))
-    grid = np.zeros((lanes, BLOCK), dtype=np.int32)
-    grid.reshape(-1)[: len(ids)] = ids
-    columns = np.ascontiguousarray(grid.T)
     tail = len(ids) - (lanes - 1) * BLOCK
+    grid = np.full((lanes, BLOCK), ids[0], dtype=np.int32)
+    grid.reshape(-1)[: len(ids)] = ids
+    history = np.zeros((BLOCK + 2, lanes), dtype=np.int32)
+    history[2:] = grid.T
     model = Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    words, at = np.zeros((lanes, 2 * BLOCK + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    history = np.zeros((BLOCK + 2, lanes), dtype=np.int64)
-    history[2:] = columns
-    places = [model.places(history[i : i + 128], history[i + 1 : i + 129]) for i in range(0, BLOCK, 128)]
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    width = BLOCK + 1
+    words = np.zeros((lanes, width), dtype="<u4")
+    flat, begins = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width
+    place = begins.copy()
     for t in range(steps):
         n = lanes if t < tail else lanes - 1
-        now = columns[t, :n]
-        one, two = places[t // 128]
-        model.predict(one[t % 128, :n], two[t % 128, :n])
-        first = model.rest * prior.first[now]
-        first += model.weight_two * (now > model.id_two)
-        first += model.weight_one * (now > model.id_one)
-        size = model.rest * prior.frequency[now]
-        size += model.weight_two * (now == model.id_two)
-        size += model.weight_one * (now == model.id_one)
+        k = t % 128
+        if k == 0:
+            places = model.places(history[t : t + 128], history[t + 1 : t + 129])
+            chunk = history[t + 2 : t + 130]
+            firsts, shares = prior.first[chunk], prior.frequency[chunk]
+        now = chunk[k, :n]
+        model.predict(places[k, :, :n])
+        begin, size = model.interval(now, firsts[k, :n], shares[k, :n])
         a, b = low[:n], span[:n]
         b >>= _U(_TOTAL)
-        a += b * first.view(np.uint64)
-        b *= size.view(np.uint64)
-        while True:
-            settled = (a ^ (a + b)) < _TOP
-            tight = ~settled & (b < _LEAST)
-            move = np.flatnonzero(settled | tight)
-            if not len(move):
-                break
-            if tight.any():
-                b[tight] = (_U(0) - a[tight]) & (_LEAST - _U(1))
-            moving = a[move]
-            words[move, at[move]] = moving >> _U(32)
-            at[move] += 1
-            a[move] = (moving << _U(16)) & _MASK
-            b[move] <<= _U(16)
+        a += b * begin
+        b *= size
+        move = np.flatnonzero(b < _LEAST)
+        if len(move):
+            moving, at = a[move], place[move]
+            flat[at] = moving >> _WORD
+            place[move] = at + 1
+            b[move] = np.minimum(b[move], _LEAST - (moving & _LOW)) << _WORD
+            a[move] = moving << _WORD
         model.learn(now)
-    for shift in (32, 16, 0):
-        words[np.arange(lanes), at] = (low >> _U(shift)) & _U(0xFFFF)
-        at += 1
+    flat[place] = (low + _LOW) >> _WORD
+    used = place - begins + 1
     sizes = np.full(lanes, BLOCK, dtype="<u4")
     sizes[-1] = tail
-    sums = np.array([zlib.crc32(ids[i : i + BLOCK].tobytes()) for i in range(0, len(ids), BLOCK)], dtype="<u4")
+    sums = np.array([zlib.crc32(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)], dtype="<u4")
     header = prior.pack()
     parts = [struct.pack("<4sII", MAGIC, lanes, len(header)), header]
-    parts += [sizes.tobytes(), at.astype("<u4").tobytes(), sums.tobytes()]
-    return b"".join(parts + [words[i, : at[i]].tobytes() for i in range(lanes)])
+    parts += [sizes.tobytes(), used.astype("<u4").tobytes(), sums.tobytes()]
+    return b"".join(parts + [words[i, : used[i]].tobytes() for i in range(lanes)])
 
 
 def decode(data: bytes, blocks: slice | None = None) -> np.ndarray:
@@ -181,7 +197,7 @@ def decode(data: bytes, blocks: slice | None = None) -> np.ndarray:
     at = struct.calcsize("<4sII")
     prior = Prior.unpack(data[at : at + header])
     sizes, lengths, sums = np.frombuffer(data, dtype="<u4", count=3 * lanes, offset=at + header).reshape(3, -1).astype(np.int64)
-    begins = at + header + 12 * lanes + 2 * (np.cumsum(lengths) - lengths)
+    begins = at + header + 12 * lanes + 4 * (np.cumsum(lengths) - lengths)
     wanted = np.arange(lanes)[blocks or slice(None)]
     found = _decode(data, prior, sizes[wanted], lengths[wanted], begins[wanted])
     for i, k in enumerate(wanted.tolist()):
@@ -192,54 +208,41 @@ def decode(data: bytes, blocks: slice | None = None) -> np.ndarray:
 
 def _decode(data: bytes, prior: Prior, sizes: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
     lanes, steps = len(sizes), int(sizes.max())
-    words = np.zeros((lanes, int(lengths.max()) + 8), dtype=np.uint64)
+    width = max(int(lengths.max()), steps) + 2
+    words = np.zeros((lanes, width), dtype=np.uint64)
     for i, (begin, length) in enumerate(zip(begins.tolist(), lengths.tolist())):
-        words[i, :length] = np.frombuffer(data, dtype="<u2", count=length, offset=begin)
-    width = words.shape[1]
-    flat, place = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 3
-    code = (words[:, 0] << _U(32)) | (words[:, 1] << _U(16)) | words[:, 2]
+        words[i, :length] = np.frombuffer(data, dtype="<u4", count=length, offset=begin)
+    flat, place = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 2
+    code = (words[:, 0] << _WORD) | words[:, 1]
     model = Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    before, last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    out = np.zeros((steps, lanes), dtype=np.int32)
-    most, top = (1 << _TOTAL) - 1, len(prior.first) - 1
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    history = np.zeros((steps + 2, lanes), dtype=np.int32)
+    most, zero = _U((1 << _TOTAL) - 1), np.int32(0)
     for t in range(steps):
         n = lanes if t < sizes[-1] else int(np.count_nonzero(sizes > t))
-        model.predict(*model.places(before[:n], last[:n]))
+        model.predict(model.places(history[t, :n], history[t + 1, :n]))
         a, b, c = low[:n], span[:n], code[:n]
         b >>= _U(_TOTAL)
-        value = np.minimum(((c - a) // b).view(np.int64), most)
-        two, one = np.minimum(model.id_two, top), np.minimum(model.id_one, top)
-        above = model.id_one > model.id_two
-        first_two = model.rest * prior.first[two] + model.weight_one * (model.id_two > model.id_one)
-        first_one = model.rest * prior.first[one] + model.weight_two * above
-        end_two = first_two + model.rest * prior.frequency[two] + model.weight_two + model.weight_one * (two == one)
-        end_one = first_one + model.rest * prior.frequency[one] + model.weight_one + model.weight_two * (two == one)
-        slot = value - model.weight_two * (value >= end_two) - model.weight_one * (value >= end_one)
-        now = prior.of_slot[np.clip(slot // model.rest, 0, (1 << FREQUENCY_BITS) - 1)]
-        now = np.where((value >= first_two) & (value < end_two) & (model.weight_two > 0), model.id_two, now)
-        now = np.where((value >= first_one) & (value < end_one) & (model.weight_one > 0), model.id_one, now)
-        first = model.rest * prior.first[now]
-        first += model.weight_two * (now > model.id_two)
-        first += model.weight_one * (now > model.id_one)
-        size = model.rest * prior.frequency[now]
-        size += model.weight_two * (now == model.id_two)
-        size += model.weight_one * (now == model.id_one)
-        a += b * first.view(np.uint64)
-        b *= size.view(np.uint64)
-        while True:
-            settled = (a ^ (a + b)) < _TOP
-            tight = ~settled & (b < _LEAST)
-            move = np.flatnonzero(settled | tight)
-            if not len(move):
-                break
-            if tight.any():
-                b[tight] = (_U(0) - a[tight]) & (_LEAST - _U(1))
-            a[move] = (a[move] << _U(16)) & _MASK
-            c[move] = ((c[move] << _U(16)) & _MASK) | flat[place[move]]
-            place[move] += 1
-            b[move] <<= _U(16)
+        value = np.minimum((c - a) // b, most).astype(np.int32)
+        # Take the shares of order 2 and then of order 1 out of the value, which leaves that of order 0.
+        (id_one, id_two), (one, two) = model.ids, model.weight
+        begins_one, begins_two = model.rest * prior.first.take(model.ids, mode="clip")
+        begins_two += one * (id_two > id_one)
+        over = value - begins_two
+        value -= np.minimum(np.maximum(over, zero, out=over), two, out=over)
+        over = value - begins_one
+        value -= np.minimum(np.maximum(over, zero, out=over), one, out=over)
+        now = prior.of_slot.take((value / model.rest).astype(np.int64), mode="clip")
+        begin, size = model.interval(now, prior.first.take(now), prior.frequency.take(now))
+        a += b * begin
+        b *= size
+        move = np.flatnonzero(b < _LEAST)
+        if len(move):
+            moving, at = a[move], place[move]
+            c[move] = (c[move] << _WORD) | flat[at]
+            place[move] = at + 1
+            b[move] = np.minimum(b[move], _LEAST - (moving & _LOW)) << _WORD
+            a[move] = moving << _WORD
         model.learn(now)
-        out[t, :n] = now
-        before[:n], last[:n] = last[:n], now
-    return np.ascontiguousarray(out.T).astype("<u4")
+        history[t + 2, :n] = now
+    return np.ascontiguousarray(history[2:].T).astype("<u4")
