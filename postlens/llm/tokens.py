@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of its pieces.
 
 A vocabulary file of the ``word_bpe`` kind lower-cases a text, cuts it into
-pieces by a pattern and runs byte-pair merges inside each piece. For texts of
-Latin-1 characters the pieces are cut here by the file's own pattern, and the
-library's model turns each new piece into ids once. All other texts, and all
-texts for files of another kind, go to the library whole.
+pieces by a pattern and runs byte-pair merges inside each piece. No piece holds
+white space, so texts of Latin-1 characters are cut here at white space; each
+new chunk is cut into pieces by the file's own pattern, and the library's model
+turns each new piece into ids once. All other texts, and all texts for files of
+another kind, go to the library whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import unicodedata
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_PIECES = 800_000
+CACHED_PIECES = 1_200_000
 CACHED_LENGTH = 64
 # White space or marks on which the library and Python's patterns may differ, and the start of special tokens.
-_UNSURE = re.compile("[\x00\x1c-\x1f\x85]|<\\|")
+_UNSURE = ("\x00", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -39,6 +40,21 @@ def latin_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+class Cache(dict):
+    """Text without white space -> its ids, made by ``make`` where they are missing; emptied when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
     """``ids(text)``: the ids as bytes, four little-endian ones for each, without special tokens of its own."""
 
@@ -47,7 +63,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(self._chunk)
         self.alphabet = byte_alphabet()
         self.pieces = self._piece_pattern(json.loads(self.tokenizer.to_str()))
 
@@ -74,25 +90,18 @@ class Encoder:
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def ids(self, text: str) -> bytes:
-        if self.pieces is None or _UNSURE.search(text):
+        if self.pieces is None or any(mark in text for mark in _UNSURE):
             return self.whole(text)
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return self.whole(text)
-        pieces = self.pieces.findall(text.lower())
-        parts = list(map(self.cache.get, pieces))
-        if None in parts:
-            if len(self.cache) > CACHED_PIECES:
-                self.cache.clear()
-            for i, part in enumerate(parts):
-                if part is None:
-                    piece = pieces[i]
-                    parts[i] = self.cache.get(piece) or self._piece(piece)
-                    if len(piece) <= CACHED_LENGTH:
-                        self.cache[piece] = parts[i]
-        return b"".join(parts)
+        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+
+    def _chunk(self, chunk: str) -> bytes:
+        pieces = self.pieces.findall(chunk)
+        return self._piece(chunk) if pieces == [chunk] else b"".join([self.cache[p] for p in pieces])
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its token ends a sentence: its last character is a full stop or the like."""
