@@ -53,3 +53,16 @@ def test_files_hold_all_documents_in_order(spark):
     assert tokenfiles.read(tokenfiles.write(docs.limit(0), path)).count() == 0
     same = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id bigint, text string")
     assert tokenfiles.read(tokenfiles.write(same, path)).count() == 3
+
+
+def test_kept_chunks_give_the_librarys_ids(monkeypatch):
+    texts = [
+        "", " ", "Hend, hend. hend", "it's IT'S 'll''s", "a b\tc\r\nd", "1a2b ²½3,4.5", "...!? ,a., (x)",
+        "a\x00b \x1cc", "x\x85y", "<|endoftext|> a<|x|>b", "Été ßa µm", "中文 a", "word" * 40 + ", w",
+    ]
+    for limit in (tokens.CACHED_PIECES, 2):
+        monkeypatch.setattr(tokens, "CACHED_PIECES", limit)
+        encode = tokens.Encoder(tokens.vocabulary_path())
+        for text in texts * 2:
+            assert encode.ids(text) == encode.whole(text), text
+        assert len(encode.cache) <= limit
