@@ -145,7 +145,13 @@ def detect_latin(spark, sf_dir):
     "SELECT id, array_to_string(regexp_extract_all(lower(text), '[a-z'']+'), ' ') AS tokens FROM posts",
 )
 def tokenize_latin(spark, sf_dir):
-    return B.posts(spark, sf_dir).select("id", F.array_join(T.tokenize_latin(F.col("text")), " ").alias("tokens"))
+    return _by_text(spark, sf_dir, F.array_join(T.tokenize_latin(F.col("text")), " "))
+
+
+def _by_text(spark, sf_dir, tokens):
+    """id, tokens of every post; the tokens are made once a text."""
+    texts = B.texts(spark, sf_dir).select("doc_id", "source", tokens.alias("tokens"))
+    return B.with_events(spark, sf_dir, texts).select("id", "tokens")
 
 
 cte(
@@ -157,9 +163,7 @@ cte(
 @query("tokenize_zh", "SELECT id, array_to_string(tokens, '|') AS tokens FROM dictionary_tokens")
 def tokenize_zh(spark, sf_dir):
     # The documents hold no Chinese, so frequent letter groups play the dictionary.
-    return B.posts(spark, sf_dir).select(
-        "id", F.array_join(T.tokenize_dictionary(F.col("text"), ZH_TERMS), "|").alias("tokens")
-    )
+    return _by_text(spark, sf_dir, F.array_join(T.tokenize_dictionary(F.col("text"), ZH_TERMS), "|"))
 
 
 @query(
@@ -171,7 +175,7 @@ def tokenize_zh(spark, sf_dir):
 )
 def filter_tokens(spark, sf_dir):
     tokens = T.filter_tokens(T.tokenize_dictionary(F.col("text"), ZH_TERMS), ("the", "th"))
-    return B.posts(spark, sf_dir).select("id", F.array_join(tokens, " ").alias("tokens"))
+    return _by_text(spark, sf_dir, F.array_join(tokens, " "))
 
 
 @query("token_columns", "SELECT id, tokens_lem_str, token_count FROM prepared")
@@ -237,10 +241,9 @@ def tier2_lexicon(spark, sf_dir):
     def tier2(post):
         return sentiment.tier2_from_score(sentiment.score_by_language(post["tokens"], post["lang"], B.LEXICONS))
 
-    return (
-        B.prepared(spark, sf_dir)
-        .select("id", let(F.struct("tokens", "lang"), tier2).alias("t2"))
-        .select("id", F.col("t2.label").alias("t2_label"), F.col("t2.conf").alias("t2_conf"), F.col("t2.score").alias("score"))
+    scored = B.prepared_texts(spark, sf_dir).select("doc_id", "source", let(F.struct("tokens", "lang"), tier2).alias("t2"))
+    return B.with_events(spark, sf_dir, scored).select(
+        "id", F.col("t2.label").alias("t2_label"), F.col("t2.conf").alias("t2_conf"), F.col("t2.score").alias("score")
     )
 
 
@@ -300,6 +303,5 @@ DOMAIN_PATTERNS = {
         WHEN lang = 'fr' AND regexp_matches(text_norm, '(^|[^{B.SQL_WORD}])la le($|[^{B.SQL_WORD}])') THEN 0.5::DOUBLE ELSE t1_conf END AS t1_conf FROM tiers""",
 )
 def domain_patterns(spark, sf_dir):
-    return sentiment.label_posts(B.prepared(spark, sf_dir), B.LEXICONS, DOMAIN_PATTERNS).select(
-        "id", "t1_label", "t1_conf"
-    )
+    labelled = sentiment.label_posts(B.prepared_texts(spark, sf_dir), B.LEXICONS, DOMAIN_PATTERNS)
+    return B.with_events(spark, sf_dir, labelled).select("id", "t1_label", "t1_conf")

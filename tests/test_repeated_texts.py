@@ -32,15 +32,30 @@ def test_prefixes_of_topics_are_not_summed_anew_for_every_term(spark):
     assert [(r["topic_a"], r["topic_b"], round(r["cosine"], 9)) for r in found.collect()] == [(0, 1, 1.0)]
 
 
-def test_a_stage_of_posts_writes_each_text_once(spark, tmp_path):
-    from postlens.plans import bind
-
+def small_tables(spark, folder) -> str:
+    """Four texts, each the text of ten events."""
     texts = [(i, f"the words of text {i}", "en", f"src{i}", 10) for i in range(4)]
-    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     events = spark.range(40).select(
         F.col("id").alias("event_id"), F.lit(1.0).alias("value"), F.lit("click").alias("event_type"), F.current_timestamp().alias("ts")
     )
-    events.write.parquet(f"{tmp_path}/events.parquet")
-    staged = bind.topic_stage(spark, str(tmp_path))
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_a_stage_of_posts_writes_each_text_once(spark, tmp_path):
+    from postlens.plans import bind
+
+    staged = bind.topic_stage(spark, small_tables(spark, tmp_path))
     written = [f for f in staged.inputFiles() if "topic-texts" in f]
     assert staged.count() == 40 and spark.read.parquet(*written).count() == 4
+
+
+def test_tokens_and_scores_are_made_before_posts_are_joined(spark, tmp_path):
+    """The join copies rows, so what stands above it in the plan is done once a post."""
+    from postlens.plans import queries_text as queries
+
+    tables = small_tables(spark, tmp_path)
+    for query in (queries.filter_tokens, queries.tokenize_zh, queries.tokenize_latin, queries.tier2_lexicon):
+        above = plan(query(spark, tables)).split("join inner")[0]
+        assert "regexp" not in above and "transform" not in above
