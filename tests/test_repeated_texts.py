@@ -59,3 +59,40 @@ def test_tokens_and_scores_are_made_before_posts_are_joined(spark, tmp_path):
     for query in (queries.filter_tokens, queries.tokenize_zh, queries.tokenize_latin, queries.tier2_lexicon):
         above = plan(query(spark, tables)).split("join inner")[0]
         assert "regexp" not in above and "transform" not in above
+
+
+def test_words_and_copies_of_texts_that_stand_for_many_posts(spark):
+    """One row a text with its number of posts gives what the posts give, and no text is grouped by."""
+    from postlens.operators import amplification
+
+    rows = [(0, "red fish", 2), (0, "red red fish", 1), (1, "red fish", 3), (None, "blue", 1), (1, None, 2), (0, "red fish", 1)]
+    texts = spark.createDataFrame(rows, "topic_id int, tokens_lem_str string, copies long").withColumn("text", F.col("tokens_lem_str"))
+    posts = texts.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+    assert "aggregate" not in plan(topics.corpus_terms(texts, copies="copies"))
+    once, each = topics.ctfidf(texts, 1, copies="copies"), topics.ctfidf(posts, 1)
+    assert sorted(map(str, once.collect())) == sorted(map(str, each.collect()))
+    assert amplification.proxy_duplication(texts, "copies").collect() == amplification.proxy_duplication(posts).collect()
+
+
+def test_texts_are_normalised_once_before_they_are_written(spark, tmp_path, monkeypatch):
+    """A test of the length below the columns that it is made of normalises every text a second time."""
+    from postlens.plans import bind
+
+    written = []
+    monkeypatch.setattr(bind, "stored", lambda df, name: written.append(plan(df)) or df)
+    tables = small_tables(spark, tmp_path)
+    posts, texts = bind.topic_stages(spark, tables)
+    bind.corpus_texts(spark, tables)
+    assert len(written) == 2 and not any("length(" in w for w in written)
+    assert posts.count() == 40 and sorted(r["copies"] for r in texts.collect()) == [10] * 4
+
+
+def test_samples_are_found_without_their_texts(spark):
+    rows = [(t, f"p{i}", float(i % 3), f"text {i}") for t in (-1, 0, 1) for i in range(9)] + [(0, None, 9.0, "last")]
+    frame = spark.createDataFrame(rows, "topic_id int, id string, engagement double, text string")
+    found = topics.topic_samples(frame, 3)
+    first = plan(found).split("leftsemi")[1]
+    assert "windowgrouplimit" in first or "window" in first
+    assert not any("text" in line for line in first.splitlines() if "window" in line)
+    got = sorted((r["topic_id"], r["rank"], r["text"]) for r in found.collect())
+    assert got == [(0, 1, "last"), (0, 2, "text 2"), (0, 3, "text 5"), (1, 1, "text 2"), (1, 2, "text 5"), (1, 3, "text 8")]
