@@ -16,7 +16,8 @@ import codecs
 import csv
 import io
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,6 +31,7 @@ _EFFECT = "file string, at bigint, lead string, odd boolean, turns boolean, dept
     f"bad_{i} boolean" for i in range(len(ENCODINGS))
 )
 MANY = 100_000
+LOT, LOT_BYTES = 256, 1 << 20
 _PIECE = "file string, at bigint, ord bigint, opens boolean, closes boolean, body binary"
 
 
@@ -117,22 +119,26 @@ class Brackets:
 # --- passes ---------------------------------------------------------------------
 
 
-def _chunks(batches):
-    """(file, at, bodies) of each chunk in a task; a task may hold several chunks, and a chunk several batches."""
-    key, bodies = None, None
+def _rows(batches, names: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of a task, a few at a time as Python objects, whatever the size of a batch."""
     for batch in batches:
-        names = batch.schema.names
-        columns = [batch.column(names.index(n)).to_pylist() for n in names]
-        for row in zip(*columns):
-            row = dict(zip(names, row))
-            mine = (row["file"], row["at"])
-            if mine != key:
-                if key is not None:
-                    yield key, state, bodies
-                key, state, bodies = mine, row, []
-            bodies.append(row["body"])
-    if key is not None:
-        yield key, state, bodies
+        columns = batch.select(list(names))
+        for start in range(0, batch.num_rows, LOT):
+            yield from zip(*[c.to_pylist() for c in columns.slice(start, LOT).columns])
+
+
+def _lots(rows: Iterator[tuple], names: list[str], kinds: list, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``LOT_BYTES``, so that a task holds no more of its output."""
+    while True:
+        held, full = [], 0
+        for row in rows:
+            held.append(row)
+            full += size(row)
+            if full >= LOT_BYTES or len(held) >= 1 << 14:
+                break
+        if not held:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
 
 def _effects(reader):
@@ -140,25 +146,24 @@ def _effects(reader):
 
     def run(batches):
         totals: dict[tuple, list] = {}
-        for batch in batches:
-            for file, at, body in zip(*[batch.column(n).to_pylist() for n in ("file", "at", "body")]):
-                if (file, at) not in totals:
-                    lead = body.removeprefix(codecs.BOM_UTF8).lstrip()[:1].decode("latin-1")
-                    totals[file, at] = [False, 0, 0, *[False] * len(ENCODINGS), lead, False]
-                total = totals[file, at]
-                turns, out, quoted = reader.effect(body)
-                total[-1] |= turns
-                # Depth changes seen from a start outside and inside quotes; a turn swaps which one counts next.
-                first, second = (quoted, out) if total[0] else (out, quoted)
-                total[1], total[2] = total[1] + first, total[2] + second
-                total[0] ^= turns
-                if not body.isascii():
-                    for i, name in enumerate(ENCODINGS):
-                        if not total[3 + i]:
-                            try:
-                                body.decode(name)
-                            except UnicodeDecodeError:
-                                total[3 + i] = True
+        for file, at, body in _rows(batches, ("file", "at", "body")):
+            if (file, at) not in totals:
+                lead = body.removeprefix(codecs.BOM_UTF8).lstrip()[:1].decode("latin-1")
+                totals[file, at] = [False, 0, 0, *[False] * len(ENCODINGS), lead, False]
+            total = totals[file, at]
+            turns, out, quoted = reader.effect(body)
+            total[-1] |= turns
+            # Depth changes seen from a start outside and inside quotes; a turn swaps which one counts next.
+            first, second = (quoted, out) if total[0] else (out, quoted)
+            total[1], total[2] = total[1] + first, total[2] + second
+            total[0] ^= turns
+            if not body.isascii():
+                for i, name in enumerate(ENCODINGS):
+                    if not total[3 + i]:
+                        try:
+                            body.decode(name)
+                        except UnicodeDecodeError:
+                            total[3 + i] = True
         rows = [(*key, *total[-2:], *total[:-2]) for key, total in totals.items()]
         if rows:
             names = [part.split()[0] for part in _EFFECT.split(", ")]
@@ -168,15 +173,17 @@ def _effects(reader):
 
 
 def _cut(reader):
-    def run(batches):
-        for (file, at), state, bodies in _chunks(batches):
-            found = list(reader.pieces(bodies, state["inside"], state["depth"]))
-            if found:
-                n = len(found)
-                columns = [[file] * n, [at] * n, range(n), *zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [p.split()[0] for p in _PIECE.split(", ")])
+    """The pieces of the chunks of a task, given out as they are found; a task may hold several chunks, and a chunk several batches."""
+    names = [p.split()[0] for p in _PIECE.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
-    return run
+    def pieces(batches):
+        rows = _rows(batches, ("file", "at", "inside", "depth", "body"))
+        for (file, at, inside, depth), chunk in groupby(rows, lambda row: row[:4]):
+            for n, piece in enumerate(reader.pieces((row[4] for row in chunk), inside, depth)):
+                yield file, at, n, *piece
+
+    return lambda batches: _lots(pieces(batches), names, kinds, lambda row: len(row[5]))
 
 
 def starts(effects: DataFrame) -> DataFrame:
@@ -232,15 +239,12 @@ def cut_records(spark: SparkSession, path: str, reader, effects: DataFrame | Non
 
 
 def _decoded(batches):
-    for batch in batches:
-        out = []
-        places = zip(*[batch.column(n).to_pylist() for n in ("at", "ord", "body", "encoding")])
-        for at, ord_, body, encoding in places:
+    def texts():
+        for file, at, ord_, body, encoding in _rows(batches, ("file", "at", "ord", "body", "encoding")):
             text = body.decode("utf-8" if encoding == "utf-8-sig" and (at or ord_) else encoding)
-            out.append(text[:-1] if text.endswith("\r") else text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("file"), batch.column("at"), batch.column("ord"), pa.array(out, pa.string())], ["file", "at", "ord", "record"]
-        )
+            yield file, at, ord_, text[:-1] if text.endswith("\r") else text
+
+    yield from _lots(texts(), ["file", "at", "ord", "record"], [pa.string(), pa.int64(), pa.int64(), pa.string()], lambda row: len(row[3]))
 
 
 def text_records(spark: SparkSession, path: str, reader, effects: DataFrame | None = None) -> DataFrame:

@@ -120,3 +120,25 @@ def test_digest_memory_does_not_follow_the_file(spark, tmp_path):
     digest.update(bytes(5))
     row = records.sha256_of(spark, str(tmp_path)).first()
     assert (row["length"], row["sha256"]) == ((2 << 30) + 5, digest.hexdigest())
+
+
+@pytest.mark.parametrize("reader", [records.Quotes(), records.Brackets()])
+def test_a_task_gives_records_out_before_it_has_read_its_chunk(reader):
+    """Neither a chunk's fragments nor its records are held as a whole."""
+    import pyarrow as pa
+
+    body = (b'[{"a": "' if isinstance(reader, records.Brackets) else b"") + b"x" * 10_000 + (b'"' if isinstance(reader, records.Brackets) else b"")
+    taken = []
+
+    def batches():
+        for i in range(400):
+            taken.append(i)
+            n, first = 10, body if i == 0 else body.replace(b"[", b",")
+            rows = [["f"] * n, [0] * n, [False] * n, [0] * n, [first, *[body.replace(b"[", b",")] * (n - 1)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["file", "at", "inside", "depth", "body"])
+
+    out = records._cut(reader)(batches())
+    first = next(out)
+    assert len(taken) < 40 and first.nbytes < 4 * records.LOT_BYTES
+    ords = first.column("ord").to_pylist() + [o for batch in out for o in batch.column("ord").to_pylist()]
+    assert ords == list(range(4000)) and len(taken) == 400
