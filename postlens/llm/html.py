@@ -51,7 +51,6 @@ BROADCAST_BYTES = 16 << 20
 SALTS = 16
 DEPTH = 60
 WRAPPER_BYTES = 1 << 20
-CHECK_PAGES = 64
 DROPPED = "!"
 NAMED = "!?"
 
@@ -403,7 +402,8 @@ def bounded(wrapper: dict) -> dict:
     """The wrapper; above ``WRAPPER_BYTES`` without its rarest elements, those of the fewest pages first.
 
     An element without a place in the wrapper is text of its page like any
-    other, so this can only keep text.
+    other, so this can only keep text. Extraction doesn't call it: its wrappers
+    are whole, however large.
     """
     least = 1
     while least < wrapper["pages"] and len(json.dumps(wrapper)) > WRAPPER_BYTES:
@@ -431,8 +431,6 @@ def _infer(batches):
         for batch in slices(whole):
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[name] = joined(held.get(name), own(page or ""))
-                if held[name]["pages"] % CHECK_PAGES == 0:
-                    held[name] = bounded(held[name])
             if len(held) >= HOSTS_IN_TASK:
                 yield given()
     if held:
@@ -442,7 +440,7 @@ def _infer(batches):
 def _merge(key, table):
     wrapper = None
     for text in sorted(table.column("wrapper").to_pylist()):
-        wrapper = bounded(joined(wrapper, json.loads(text)))
+        wrapper = joined(wrapper, json.loads(text))
     return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
 

@@ -188,3 +188,21 @@ def test_wrapper_of_a_host_stays_below_its_bound(monkeypatch):
         name = "".join(chr(97 + int(d)) for d in str(i))
         held = html.bounded(html.joined(held, html.own(blog(i, "single", f"post slug{name}"))))
     assert held["pages"] == 1500 and len(json.dumps(held)) <= 4000 + 2000
+
+
+def test_a_wrapper_above_the_bound_keeps_its_rarest_elements(monkeypatch):
+    """Wrappers made in tasks, and merged, are whole."""
+    import json
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(html, "WRAPPER_BYTES", 4000)
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(256)]
+    pages = [blog(i, "single", f"post slug{name}") for i, name in enumerate(names)]
+    parts = []
+    for half in (pages[:128], pages[128:]):
+        found = list(html._infer(iter([pa.RecordBatch.from_arrays([pa.array(["h"] * 128), pa.array(half)], ["host", "html"])])))
+        assert [b.num_rows for b in found] == [1]
+        parts.append(found[0].column("wrapper").to_pylist()[0])
+    merged = html._merge((pa.scalar("h"),), pa.table({"host": ["h", "h"], "wrapper": parts})).column("wrapper").to_pylist()[0]
+    assert all(f"slug{name}" in merged for name in names) and json.loads(merged)["pages"] == 256
