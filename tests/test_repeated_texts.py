@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from postlens.operators import topics
@@ -96,3 +98,33 @@ def test_samples_are_found_without_their_texts(spark):
     assert not any("text" in line for line in first.splitlines() if "window" in line)
     got = sorted((r["topic_id"], r["rank"], r["text"]) for r in found.collect())
     assert got == [(0, 1, "last"), (0, 2, "text 2"), (0, 3, "text 5"), (1, 1, "text 2"), (1, 2, "text 5"), (1, 3, "text 8")]
+
+
+def test_topics_are_fitted_on_texts_and_posts_get_the_same_as_one_by_one(spark, monkeypatch):
+    """40 texts of 400 posts: what is counted and written has a row a text, with the texts given apart or not."""
+    from postlens.session import stored
+
+    draw = random.Random(4)
+    words = [[f"{'ab'[i % 3 == 0]}{draw.randrange(9)}" for _ in range(8 + i % 4)] for i in range(40)]
+    texts = spark.createDataFrame([(i, w, " ".join(w)) for i, w in enumerate(words)], "text_id long, tokens array<string>, tokens_lem_str string")
+    slim = spark.createDataFrame([(f"p{i}", i % 40, i) for i in range(400)], "id string, text_id long, extra long")
+    whole = slim.join(texts, "text_id").select("id", "tokens", "tokens_lem_str", "extra")
+    counted, written = [], []
+
+    def scores(topics_, *args, **options):
+        counted.append(topics_.count())
+        return ctfidf(topics_, *args, **options)
+
+    def kept(df, name):
+        written.append((name, [c for c in df.columns if c.startswith("tokens")], table := stored(df, name)))
+        return table
+
+    ctfidf = topics.ctfidf
+    monkeypatch.setattr(topics, "ctfidf", scores)
+    monkeypatch.setattr(topics, "stored", kept)
+    options = {"dims": 2, "radius": 0.4, "min_points": 3, "min_topic_size": 10}
+    a = {(r["id"], r["topic_id"]) for r in topics.fit_topics(whole, **options).select("id", "topic_id").collect()}
+    b = {(r["id"], r["topic_id"]) for r in topics.fit_topics(slim, texts=texts, **options).select("id", "topic_id").collect()}
+    assert a == b and len(a) == 400 and len({t for _, t in a} - {-1}) >= 1
+    assert len(counted) == 2 and max(counted) <= 40
+    assert all(table.count() <= 40 for _, columns, table in written if columns)
