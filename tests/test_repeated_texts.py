@@ -128,3 +128,34 @@ def test_topics_are_fitted_on_texts_and_posts_get_the_same_as_one_by_one(spark,
     assert a == b and len(a) == 400 and len({t for _, t in a} - {-1}) >= 1
     assert len(counted) == 2 and max(counted) <= 40
     assert all(table.count() <= 40 for _, columns, table in written if columns)
+
+
+def test_the_analysis_prepares_and_writes_texts_once_and_keeps_the_first_post_of_an_id(spark, monkeypatch):
+    from postlens.plans import run
+    from postlens.session import stored
+
+    texts = [f"the {'river flood' if i % 3 else 'bread oven'} was {'good' if i % 4 else 'bad'} number {i % 7} in week {i}" for i in range(12)]
+    rows = [(f"p{i}", texts[i % 12], "web", "ann" if i % 2 else "bot", float(i % 5)) for i in range(240)]
+    # Copies of an id: only the text tells them apart, and the least counts; one is blank, one has no text, two no id.
+    rows += [("p1", "a text before all others", "web", "ann", 1.0), ("q", " ", "web", "ann", 1.0), ("r", None, "web", "ann", 1.0)]
+    rows += [(None, texts[0], "web", "ann", 1.0), (None, texts[0], "web", "ann", 1.0)]
+    posts = spark.createDataFrame(rows, "id string, text string, platform string, author string, engagement double").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    written = []
+
+    def kept(df, name, **options):
+        table = stored(df, name, **options)
+        written.append((name, df.columns, table.count()))
+        return table
+
+    for module in (run, topics):
+        monkeypatch.setattr(module, "stored", kept)
+    labelled, summary = run.label_stage(posts, "en", bot_labels=["bot"])
+    assert labelled.columns[:6] == posts.columns and {"text_norm", "lang", "tokens", "tokens_lem_str", "token_count", "final_label"} <= set(labelled.columns)
+    got = {r["id"]: r["text"] for r in labelled.where("id IS NOT NULL").collect()}
+    assert got == {f"p{i}": texts[i % 12] for i in range(1, 240, 2)} | {"p1": "a text before all others"}
+    assert labelled.where("id IS NULL").count() == 2
+    assert summary.first().asDict() == {"organic_rows": 122, "quarantine_rows": 2, "bot_rows": 120, "starting_rows": 245, "organic_pct": 49.8}
+    done = run.analyse_posts(posts.where("id IS NOT NULL"), "en", bot_labels=["bot"], dims=2, min_points=2)
+    assert done.topics.count() == 120 and set(done.topics.columns) >= {*posts.columns, "tokens", "final_label", "topic_id", "analyst_label"}
+    assert all(n <= 20 for _, columns, n in written if {"text", "tokens", "text_norm"} & set(columns))
+    assert done.duplication.first()["n_valid"] == 120
